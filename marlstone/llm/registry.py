@@ -1,9 +1,10 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import decontaminate
+from . import decontaminate, pieces
 
 QUERIES = {
     "op6_decontamination": decontaminate.query,
+    "op8_sentencepiece": pieces.query,
 }
 
 ORACLE_SQL = {
