@@ -1,10 +1,11 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import decontaminate, pieces
+from . import decontaminate, pieces, toxicity
 
 QUERIES = {
     "op6_decontamination": decontaminate.query,
     "op8_sentencepiece": pieces.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLE_SQL = {
