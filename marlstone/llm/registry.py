@@ -1,13 +1,17 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import decontaminate, pieces, toxicity
+from . import archive, decontaminate, innerproduct, pieces, toxicity
 
 QUERIES = {
+    "op5_warc_zip": archive.query,
     "op6_decontamination": decontaminate.query,
     "op8_sentencepiece": pieces.query,
     "op9_toxicity": toxicity.query,
+    "op10_topk": innerproduct.query,
 }
 
 ORACLE_SQL = {
+    "op5_warc_zip": archive.SQL,
     "op6_decontamination": decontaminate.SQL,
+    "op10_topk": innerproduct.SQL,
 }
