@@ -1,8 +1,10 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import archive, decontaminate, innerproduct, pieces, toxicity
+from . import archive, decontaminate, innerproduct, personal, pieces, toxicity, urlfilter
 
 QUERIES = {
+    "op1_url_filter": urlfilter.query,
+    "op4_personal_data": personal.query,
     "op5_warc_zip": archive.query,
     "op6_decontamination": decontaminate.query,
     "op8_sentencepiece": pieces.query,
@@ -11,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": urlfilter.SQL,
     "op5_warc_zip": archive.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op10_topk": innerproduct.SQL,
