@@ -1,12 +1,13 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import archive, decontaminate, innerproduct, personal, pieces, toxicity, urlfilter
+from . import archive, decontaminate, innerproduct, neardup, personal, pieces, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
     "op4_personal_data": personal.query,
     "op5_warc_zip": archive.query,
     "op6_decontamination": decontaminate.query,
+    "op7_minhash": neardup.query,
     "op8_sentencepiece": pieces.query,
     "op9_toxicity": toxicity.query,
     "op10_topk": innerproduct.query,
