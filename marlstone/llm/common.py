@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark clean up the shuffle files of finished steps now; it does so when unused plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "scratch_path", None)
         if path:
