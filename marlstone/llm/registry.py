@@ -1,9 +1,10 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import archive, decontaminate, innerproduct, neardup, personal, pieces, suffixes, toxicity, urlfilter
+from . import archive, decontaminate, innerproduct, neardup, passages, personal, pieces, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
+    "op2_compact_windows": passages.query,
     "op3_suffix_dedup": suffixes.query,
     "op4_personal_data": personal.query,
     "op5_warc_zip": archive.query,
