@@ -50,7 +50,7 @@ def tool_calls(body: Column) -> Column:
 def normal_answer(text: Column) -> Column:
     """Lower case, without ASCII punctuation and articles, single spaces."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "), r"\s+", " "))
 
 
 def exact_match(answer: Column, gold: Column) -> Column:

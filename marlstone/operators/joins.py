@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import map_groups
+
 
 def paired_difference(a: DataFrame, b: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """key, value_a, value_b, difference over keys in both; the last row of a key (by ``order``) counts."""
@@ -74,41 +77,53 @@ def optimal_assignment(pairs: DataFrame, keys: list[str], left: str, right: str,
     algorithm is successive shortest augmenting paths with potentials.
     """
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(pdf[left].unique()), sorted(pdf[right].unique())
+    def solve(key: tuple, found: list[tuple]) -> Iterator[tuple]:
+        rows, cols = sorted({r[0] for r in found}), sorted({r[1] for r in found})
         n, m = len(rows), max(len(cols), len(rows))
         at_row, at_col = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
         cost = [[0.0] * m for _ in range(n)]
-        for x, y, w in pdf[[left, right, weight]].itertuples(index=False):
+        for x, y, w in found:
             cost[at_row[x]][at_col[y]] = min(cost[at_row[x]][at_col[y]], -max(0.0, float(w)))
-        u, v, of_col = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-        for r in range(1, n + 1):
-            least, seen, back = [float("inf")] * (m + 1), [False] * (m + 1), [0] * (m + 1)
-            of_col[0], c = r, 0
-            while of_col[c]:
-                seen[c], row, delta, nxt = True, of_col[c], float("inf"), 0
-                for j in range(1, m + 1):
-                    if not seen[j]:
-                        d = cost[row - 1][j - 1] - u[row] - v[j]
-                        if d < least[j]:
-                            least[j], back[j] = d, c
-                        if least[j] < delta:
-                            delta, nxt = least[j], j
-                for j in range(m + 1):
-                    if seen[j]:
-                        u[of_col[j]] += delta
-                        v[j] -= delta
-                    else:
-                        least[j] -= delta
-                c = nxt
-            while c:
-                of_col[c] = of_col[back[c]]
-                c = back[c]
-        out = [[*key, rows[of_col[j] - 1], cols[j - 1], -cost[of_col[j] - 1][j - 1]] for j in range(1, len(cols) + 1) if of_col[j] and cost[of_col[j] - 1][j - 1] < 0]
-        return pd.DataFrame(out, columns=range(len(keys) + 3))
+        of_col = _least_cost(cost)
+        for j in range(len(cols)):
+            if of_col[j] is not None and cost[of_col[j]][j] < 0:
+                yield (*key, rows[of_col[j]], cols[j], -cost[of_col[j]][j])
 
     kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in [*keys, left, right])
-    return pairs.select(*keys, left, right, weight).where(F.col(weight).isNotNull()).groupBy(*keys).applyInPandas(solve, f"{kinds}, {weight} double")
+    return map_groups(pairs.where(F.col(weight).isNotNull()), keys, [left, right, weight], solve, f"{kinds}, {weight} double")
+
+
+def _least_cost(cost: list[list[float]]) -> list[int | None]:
+    """The row of each column in an assignment of least cost; as many columns as rows at least."""
+    n, m, far = len(cost), len(cost[0]), float("inf")
+    of_row, of_col = [0.0] * n, [0.0] * m
+    match: list[int | None] = [None] * m
+    for start in range(n):
+        distance, via, done = [far] * m, [None] * m, [False] * m
+        row, column, shift = start, None, 0.0
+        while row is not None:
+            nearest = None
+            for j in range(m):
+                if not done[j]:
+                    d = shift + cost[row][j] - of_row[row] - of_col[j]
+                    if d < distance[j]:
+                        distance[j], via[j] = d, column
+                    if nearest is None or distance[j] < distance[nearest]:
+                        nearest = j
+            column, shift = nearest, distance[nearest]
+            done[column] = True
+            row = match[column]
+        for j in range(m):
+            if done[j]:
+                if match[j] is not None:
+                    of_row[match[j]] += shift - distance[j]
+                of_col[j] -= shift - distance[j]
+        of_row[start] += shift
+        while column is not None:
+            before = via[column]
+            match[column] = start if before is None else match[before]
+            column = before
+    return match
 
 
 def reconciled(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import map_groups
+
 
 def capability(progress: Column) -> Column:
     """too_hard below 0.2, boundary up to 0.85, mastered beyond; outside 0 to 1 raises."""
@@ -68,10 +69,10 @@ def packed(rows: DataFrame, keys: list[str], item: str, length: str, cap: int) -
     A group is a training batch, whose size a task holds by nature.
     """
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, found: list[tuple]) -> list[tuple]:
         loads: list[int] = []
         out = []
-        for i, n in pdf.sort_values([length, item], ascending=[False, True])[[item, length]].itertuples(index=False):
+        for n, i in sorted(found, key=lambda r: (-r[0], r[1])):
             if n > cap:
                 raise ValueError(f"item {i} of length {n} is above the cap of {cap}")
             room = [(cap - load - n, b) for b, load in enumerate(loads) if load + n <= cap]
@@ -79,23 +80,26 @@ def packed(rows: DataFrame, keys: list[str], item: str, length: str, cap: int) -
             if not room:
                 loads.append(0)
             loads[b] += n
-            out.append([*key, i, b])
-        return pd.DataFrame([[*r, loads[r[-1]]] for r in out])
+            out.append((i, b))
+        return [(*key, i, b, loads[b]) for i, b in out]
+
+    return map_groups(_lengths(rows, keys, item, length), keys, ["_n", item], fit, f"{_schema(rows, keys, item)}, bin int, load long")
+
 
-    return rows.select(*keys, item, F.col(length).cast("long")).groupBy(*keys).applyInPandas(fit, f"{_schema(rows, keys, item)}, bin int, load long")
+def _lengths(rows: DataFrame, keys: list[str], item: str, length: str) -> DataFrame:
+    return rows.select(*keys, item, F.col(length).cast("long").alias("_n"))
 
 
 def balanced(rows: DataFrame, keys: list[str], item: str, length: str, parts: int, equal: bool = False) -> DataFrame:
     """keys, item, part: differencing (largest two sets merged against each other) into parts of like totals."""
 
-    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        items = list(pdf.sort_values([length, item])[[item, length]].itertuples(index=False, name=None))
+    def split(key: tuple, items: list[tuple]) -> list[tuple]:
         if equal and len(items) % parts:
             raise ValueError(f"{len(items)} items can't be dealt evenly to {parts} parts")
         starts = [items[k : k + parts] for k in range(0, len(items), parts)] if equal else [[x] for x in items]
         heap = []
         for n, start in enumerate(starts):
-            sets = sorted(([(x[1], [x[0]]) for x in start] + [(0, [])] * (parts - len(start))), key=lambda s: -s[0])
+            sets = sorted([(x[0], [x[1]]) for x in start] + [(0, [])] * (parts - len(start)), key=lambda s: -s[0])
             heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
         n = len(starts)
         while len(heap) > 1:
@@ -103,24 +107,24 @@ def balanced(rows: DataFrame, keys: list[str], item: str, length: str, parts: in
             sets = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda s: -s[0])
             heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
             n += 1
-        return pd.DataFrame([[*key, i, p] for p, (_, held) in enumerate(heap[0][2] if heap else []) for i in held])
+        return [(*key, i, p) for p, (_, held) in enumerate(heap[0][2]) for i in held]
 
-    return rows.select(*keys, item, F.col(length).cast("long")).groupBy(*keys).applyInPandas(split, f"{_schema(rows, keys, item)}, part int")
+    return map_groups(_lengths(rows, keys, item, length), keys, ["_n", item], split, f"{_schema(rows, keys, item)}, part int")
 
 
 def least_loaded(rows: DataFrame, keys: list[str], item: str, length: str, parts: int) -> DataFrame:
     """keys, item, part: items in their order, each to the part with the least so far."""
 
-    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def deal(key: tuple, found: list[tuple]) -> list[tuple]:
         heap = [(0, p) for p in range(parts)]
         out = []
-        for i, n in pdf.sort_values(item)[[item, length]].itertuples(index=False):
+        for i, n in found:
             load, p = heapq.heappop(heap)
             heapq.heappush(heap, (load + n, p))
-            out.append([*key, i, p])
-        return pd.DataFrame(out)
+            out.append((*key, i, p))
+        return out
 
-    return rows.select(*keys, item, F.col(length).cast("long")).groupBy(*keys).applyInPandas(deal, f"{_schema(rows, keys, item)}, part int")
+    return map_groups(_lengths(rows, keys, item, length), keys, [item, "_n"], deal, f"{_schema(rows, keys, item)}, part int")
 
 
 def minibatches(rows: DataFrame, order: list[str], size: int, groups: str | None = None, drop_last: bool = True) -> DataFrame:

@@ -1,5 +1,7 @@
-"""The library's queries and their SQL."""
+"""The library's queries and their SQL; the training-data operators have a registry of their own."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "advantage_group_normalised"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -91,7 +91,7 @@ def retirement(mean: str, n: str, age: str, trial: int, stale: int):
 def counter_rates(rows: DataFrame, key: str, time: str, counter: str) -> DataFrame:
     """Adds ``rate``: the counter's change a second since the key's last sample; null at the first and at resets."""
     w = Window.partitionBy(key).orderBy(time)
-    seconds = F.col(time).cast("double") - F.lag(F.col(time).cast("double")).over(w)
+    seconds = F.col(time).cast("timestamp").cast("double") - F.lag(F.col(time).cast("timestamp").cast("double")).over(w)
     change = F.col(counter) - F.lag(counter).over(w)
     return rows.withColumn("rate", F.when(change >= 0, F.try_divide(change, seconds)))
 
