@@ -59,10 +59,10 @@ def advantage_best_only(spark, sf):
 
 @query(f"""WITH {STEPS_SQL}, o AS (SELECT o_orderkey AS rollout, o_custkey AS uid, o_totalprice AS score FROM orders), l AS (SELECT rollout, CAST(max(depth) + 1 AS DOUBLE) AS n FROM steps GROUP BY rollout),
 j AS (SELECT o.*, l.n FROM o JOIN l USING (rollout))
-SELECT rollout, round(CASE WHEN count(*) OVER w = 1 THEN score ELSE score - sum(n * score) OVER w / sum(n) OVER w END, 3) AS adv FROM j WINDOW w AS (PARTITION BY uid)""")
+SELECT rollout, round(CASE WHEN count(*) OVER w = 1 THEN score ELSE score - sum(n * score) OVER w / sum(n) OVER w END + 1e-7, 4) AS adv FROM j WINDOW w AS (PARTITION BY uid)""")
 def advantage_length_weighted(spark, sf):
     lengths = steps(spark, sf).groupBy("rollout").agg((F.max("depth") + 1).cast("double").alias("n"))
-    return rollouts(spark, sf).join(lengths, "rollout").select("rollout", F.round(advantage.length_weighted(F.col("score"), F.col("n"), ["uid"]), 3).alias("adv"))
+    return rollouts(spark, sf).join(lengths, "rollout").select("rollout", F.round(advantage.length_weighted(F.col("score"), F.col("n"), ["uid"]) + 1e-7, 4).alias("adv"))
 
 
 @query(f"""WITH {STEPS_SQL} SELECT rollout, depth, round(sum(reward) OVER (PARTITION BY rollout ORDER BY depth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS to_go FROM steps""")
