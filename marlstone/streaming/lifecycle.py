@@ -43,7 +43,7 @@ def tracked(stream: DataFrame, key: str, order: str, event: str) -> DataFrame:
             attempts += (status, new) == ("PENDING", "RUNNING")
             status = new
         state.update((status, attempts))
-        yield pd.DataFrame([(k[0], status, attempts)])
+        yield pd.DataFrame([(k[0], status, attempts)], columns=[key, "status", "attempts"])
 
     return stream.select(key, order, event).groupBy(key).applyInPandasWithState(advance, f"`{key}` {kind}, status string, attempts int", "status string, attempts int", "update", GroupStateTimeout.NoTimeout)
 
@@ -57,7 +57,7 @@ def observed(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
         for x in pd.concat(list(parts)).sort_values(order)[value].astype(float):
             n, first, last, total = n + 1, x if first is None else first, x, total + x
         state.update((n, first, last, total))
-        yield pd.DataFrame([(k[0], n, first, last, total / n)])
+        yield pd.DataFrame([(k[0], n, first, last, total / n)], columns=[key, "n", "first", "last", "mean"])
 
     return stream.select(key, order, value).groupBy(key).applyInPandasWithState(fold, f"`{key}` {kind}, n long, first double, last double, mean double", "n long, first double, last double, total double", "update", GroupStateTimeout.NoTimeout)
 
