@@ -83,7 +83,7 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                     keep[k] = 100 * both >= percent * (len(of_last) + len(sets[k]) - both)
                 yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, f"a {kind}, b {kind}")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = classes.select("doc", F.posexplode("posted").alias("slot", "value"))
     shared = postings.groupBy("slot", "value").agg(F.count("*").alias("df")).where("df > 1")
     prefix = (
-        postings.join(shared, ["slot", "value"]).groupBy("doc")
+        postings.join(shared.hint("merge"), ["slot", "value"]).groupBy("doc")
         .agg(F.array_sort(F.collect_list(F.struct("df", "slot", "value"))).alias("p"), F.sum("df").alias("fame"))  # POSTED at most
         .where(F.size("p") >= LEAST).withColumn("p", F.expr(f"slice(p, 1, size(p) - {LEAST - 1})"))
         .withColumn("slots", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.pow(F.lit(2.0), x["slot"]).cast("long")))
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.cut(pairs.select("a", "b", "long_a", "long_b").mapInArrow(_counted, f"a {kind}, b {kind}"))
     # texts of what may still be compared are set aside once
     source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
-    held = scratch.cut(source.join(prefix.select("doc"), "doc"))
+    held = scratch.cut(source.join(prefix.select("doc").hint("merge"), "doc"))  # merged at any size, so that growth shows
     links = scratch.cut(_confirmed(pairs, held, percent))
     groups = connected_components(links, "a", "b", scratch)
     labelled = prefix.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
