@@ -5,9 +5,9 @@ Documents with equal shingle sets are one class from the start. Each class is po
 below 1e-6, so a class needs only the rarest of its postings (prefix filter), and none at all if fewer than
 LEAST of its pairs occur elsewhere (skip). In every posting list the most widely shared class is the hub:
 candidates are first counted and confirmed against hubs, which is linear in the postings and merges copies
-around their original. Only lists that still span several components are then compared pair by pair, in
-blocks of bounded size, over longer signatures; each pair is counted in one list alone. All links are
-confirmed on full shingle sets.
+around their original. Only lists that still span several components are then compared pair by pair: short
+ones over longer signatures, each pair in one list alone; long ones, clustered so that no pair comes twice, in
+blocks of bounded size that yield only links between components. All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from .shingles import Words, shingle_sets
 
 #: Coordinates that are posted, of these the least number that linked classes share; bytes of the longer signature, and its least matches.
 POSTED, LEAST, LONG, LONG_LEAST = 32, 16, 128, 88
-#: Members of a posting list in one block of comparisons.
+#: Members of a short posting list, and of one part of a cluster of long ones.
 BLOCK = 256
+#: Shingles in such a part, so that long texts make smaller parts.
+BLOCK_SHINGLES = 200_000
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -95,48 +97,83 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks (rows of one list in two parts, sorted by block) the pairs across components that agree enough."""
-
-    def pairs(rows: list[tuple]) -> tuple[list, list]:
-        first, second = ([r for r in rows if r[1] == s] for s in (0, 1))
-        same = not second
-        second = second or first
-        if not first or len(rows) < 2:
-            return [], []
-        x, y = (np.frombuffer(b"".join(r[4] for r in part), dtype=np.uint8).reshape(-1, LONG) for part in (first, second))
-        px, py = (np.array([r[6] for r in part], dtype=np.int32) for part in (first, second))
-        mx, my = (np.array([r[5] for r in part], dtype=np.int64) for part in (first, second))
-        cx, cy = (np.array([r[3] for r in part], dtype=object) for part in (first, second))
-        slot, a, b = rows[0][7], [], []
-        bits = np.int64(1) << np.arange(POSTED, dtype=np.int64)
-        for k in range(len(first)):
-            agree = np.flatnonzero((x[k] == y).sum(1) >= LONG_LEAST)
-            agree = agree[(cy[agree] != cx[k]).astype(bool)]
-            if same:
-                agree = agree[agree > k]
-            if len(agree):  # counted in the first list that both are in
-                common = ((px[k] == py[agree]) @ bits) & mx[k] & my[agree]
-                agree = agree[(common & -common) == np.int64(1) << slot]
-                a += [first[k][2]] * len(agree)
-                b += [second[j][2] for j in agree.tolist()]
-        return a, b
+def _by_block(batches: Iterator[pa.RecordBatch], solve, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """``solve`` over the rows of each block, which come sorted by block and are few by construction."""
+    held: list[tuple] = []
+    schema = None
 
-    def out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        a, b = pairs(rows)
+    def out() -> pa.RecordBatch:
+        a, b = solve(held)
         return pa.RecordBatch.from_arrays([pa.array(a, schema.field("doc").type), pa.array(b, schema.field("doc").type)], names=["a", "b"])
 
-    held: list[tuple] = []
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "doc", "component", "long", "slots", "posted", "slot")), strict=True):
-            if held and row[0] != held[0][0]:
-                yield out(held, schema)
-                held = []
-            held.append(row)
+    for whole in batches:
+        schema = whole.schema
+        for batch in steps(whole, columns[3]):  # few rows become Python objects at a time
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield out()
+                    held = []
+                held.append(row)
     if held:
-        yield out(held, schema)
+        yield out()
+
+
+def _counted_pairs(rows: list[tuple]) -> tuple[list, list]:
+    """Of one short list the pairs across components that agree enough, each in the first list that both are in."""
+    docs, components, slot = [r[1] for r in rows], np.array([r[2] for r in rows], dtype=object), rows[0][6]
+    x = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, LONG)
+    prefixes, posted = np.array([r[4] for r in rows], dtype=np.int64), np.array([r[5] for r in rows], dtype=np.int32)
+    bits, a, b = np.int64(1) << np.arange(POSTED, dtype=np.int64), [], []
+    for k in range(len(rows) - 1):
+        agree = k + 1 + np.flatnonzero((x[k] == x[k + 1 :]).sum(1) >= LONG_LEAST)
+        agree = agree[(components[agree] != components[k]).astype(bool)]
+        if len(agree):
+            common = ((posted[k] == posted[agree]) @ bits) & prefixes[k] & prefixes[agree]
+            agree = agree[(common & -common) == np.int64(1) << slot]
+            a += [docs[k]] * len(agree)
+            b += [docs[j] for j in agree.tolist()]
+    return a, b
+
+
+def _linked_blocks(percent: int):
+    """Of two parts of a cluster of long lists: links on full sets that join components, at most one for each row."""
+    words = Words()
+
+    def solve(rows: list[tuple]) -> tuple[list, list]:
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        sets = shingle_sets(*words.numbers([(r[3] or "").encode() for r in rows]))
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = times[column] > 1
+        _, column = np.unique(column[shared], return_inverse=True)
+        row = row[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(rows), len(rows)), dtype=np.float32)
+        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+            p, q = np.searchsorted(column, (start, start + 4096))
+            part = np.zeros((len(rows), 4096), dtype=np.float32)
+            part[row[p:q], column[p:q] - start] = 1
+            both += part @ part.T
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        a, b = [], []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
+            x, y = find(rows[i][2]), find(rows[j][2])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(rows[i][1])
+                b.append(rows[j][1])
+        return a, b
+
+    return solve
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -181,15 +218,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = prefix.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     lists = scratch.cut(labelled.select("doc", "component", "slots", F.explode("p").alias("key")))
     open_lists = lists.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key", "members")
-    # lists that span components, in blocks: member k is in part k mod parts, each pair of parts is one block
-    rest = lists.join(open_lists, "key").join(classes.select("doc", "long", "posted"), "doc")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("doc", "key"), parts))
-    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j"), F.when(F.col("part") <= other, 0).otherwise(1).alias("side")))
-    rest = rest.withColumn("b", F.explode(blocks)).select(F.struct("key", "b.i", "b.j").alias("at"), F.col("b.side").alias("side"), "doc", "component", "long", "slots", "posted", F.col("key.slot").alias("slot"))
-    rest = rest.withColumn("block", F.concat_ws(":", "at.key.slot", "at.key.value", "at.i", "at.j")).drop("at")
-    found = rest.repartition("block").sortWithinPartitions("block", "side").select("block", "side", "doc", "component", "long", "slots", "posted", "slot").mapInArrow(_blocks, f"a {kind}, b {kind}")
+    # short lists that span components: all pairs of the list, by signatures and then full sets
+    short = lists.join(open_lists.where(F.col("members") <= BLOCK).select("key"), "key").join(classes.select("doc", "long", "posted").hint("merge"), "doc")
+    short = short.select(F.concat_ws(":", "key.slot", "key.value").alias("block"), "doc", "component", "long", "slots", "posted", F.col("key.slot").alias("slot"))
+    columns = ("block", "doc", "component", "long", "slots", "posted", "slot")
+    found = short.repartition("block").sortWithinPartitions("block").mapInArrow(lambda x: _by_block(x, _counted_pairs, columns), f"a {kind}, b {kind}")
     more = scratch.cut(_confirmed(scratch.cut(found), held, percent))
+    # long ones: lists with common documents are one cluster, dealt to parts; each pair of parts is one block, which
+    # yields only links that join components, a row for each of its documents at most
+    long = scratch.cut(lists.join(open_lists.where(F.col("members") > BLOCK).select("key"), "key").select("key", "doc", "component"))
+    if not long.isEmpty():
+        stars = long.join(long.groupBy("key").agg(F.min("doc").alias("first")), "key").select("doc", "first")
+        clusters = connected_components(stars, "doc", "first", scratch)
+        clusters = clusters.join(classes.select(F.col("doc").alias("node"), "n"), "node")
+        sizes = clusters.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+        dealt = clusters.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "parts", F.pmod(F.hash("node"), F.col("parts")).alias("part"))
+        pairs_of_parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.concat_ws(":", "cluster", F.least("part", other), F.greatest("part", other)))
+        labels = long.select("doc", "component").distinct()
+        rows = dealt.withColumn("block", F.explode(pairs_of_parts)).select("block", "doc").join(labels, "doc").join(held.hint("merge"), "doc").select("block", "doc", "component", "doc_text")
+        solve = _linked_blocks(percent)
+        joined = rows.repartition("block").sortWithinPartitions("block").mapInArrow(lambda x: _by_block(x, solve, ("block", "doc", "component", "doc_text")), f"a {kind}, b {kind}")
+        more = scratch.cut(more.unionByName(joined))
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more), "a", "b", scratch)
     of_class = classes.select("doc", "set_a", "set_b", "n").join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", "n", F.coalesce("component", "doc").alias("component_id"))
