@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -40,9 +41,14 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Lets Spark clean up the shuffle files of finished steps now; it does so when unused plans are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark clean up the shuffle files of finished steps now; it does so when unused plans are collected.
+
+        The first round ends the driver's handles of plans, the second what the plans held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "scratch_path", None)

@@ -288,16 +288,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "substrings")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
     long = rows.where(f"doc IS NOT NULL AND octet_length(doc_text) >= {LENGTH}")
-    keys = long.mapInArrow(_anchors, _KEYS)
-    first = scratch.cut(keys.repartition("x").sortWithinPartitions("x", "y", "doc").mapInArrow(_refine, _FOUND))
+    first = scratch.cut(long.mapInArrow(_anchors, _KEYS).repartition("x").sortWithinPartitions("x", "y", "doc").mapInArrow(_refine, _FOUND))
     scratch.release()
     asked = first.where("again").groupBy("doc").agg(F.collect_list(F.struct("start", "end", "bucket")).alias("asked"))  # of one text: bounded by its length
-    keys = long.join(asked, "doc").select("doc", "doc_text", "asked").mapInArrow(_windows, _KEYS)
+    keys = long.join(asked.hint("merge"), "doc").select("doc", "doc_text", "asked").mapInArrow(_windows, _KEYS)
     second = scratch.cut(keys.repartition("x").sortWithinPartitions("x", "y", "doc").mapInArrow(_repeats, _FOUND))
     scratch.release()
     gone = first.where("NOT again").select("doc", "start", "end").unionByName(second.select("doc", "start", "end")).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in results]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
-    joined = whole.join(gone, "doc", "left").select("row", "doc_text", F.coalesce("gone", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("gone"))
+    joined = whole.join(gone.hint("merge"), "doc", "left").select("row", "doc_text", F.coalesce("gone", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("gone"))
     out = joined.mapInArrow(_remaining, f"row {whole.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select("row.*", *(results if content else results[:-1]))
 
