@@ -24,7 +24,7 @@ from .common import steps, table, texts
 
 MARK = "▁"
 #: Chunks remembered by a worker, and the longest chunk that is remembered.
-MEMORY, MEMORY_CHARS = 400_000, 48
+MEMORY, MEMORY_CHARS = 700_000, 48
 
 
 class Vocabulary:
@@ -54,11 +54,11 @@ class Codec:
 
         self.v = vocabulary
         self.id_of = {vocabulary.pieces[i]: i for i in vocabulary.normal}
+        self.plain = set(vocabulary.normal)
         self.single = {p for p in self.id_of if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         self.compatible: dict[int, bool] = {}
         self.chunks: dict[str, tuple[str, int, str]] = {}
-        self.runs: dict[str, list[int]] = {}
         self.byte_of = {i: b for b, i in vocabulary.byte_ids.items()}
         for piece, i in self.id_of.items():
             if self.merged(piece) == [i]:  # others can't come out of merges
@@ -88,26 +88,29 @@ class Codec:
 
     def run(self, text: str) -> list[int]:
         """Ids of a run of characters that all have pieces."""
-        found = self.runs.get(text)
-        if found is not None:
-            return found
-        last, size = [0] * (len(text) + 1), [0] * (len(text) + 1)
+        last, size, compatible = [0] * (len(text) + 1), [0] * (len(text) + 1), self.compatible
         for end, (i, n) in self.automaton.iter(text):  # at each end longest first
             end += 1
-            if not size[end] and (n == end or size[end - n] and self.fits(last[end - n], i)):
-                last[end], size[end] = i, n
+            if size[end]:
+                continue
+            if n != end:
+                if not size[end - n]:
+                    continue
+                before = last[end - n]
+                fits = compatible.get(before << 32 | i)
+                if not (self.fits(before, i) if fits is None else fits):
+                    continue
+            last[end], size[end] = i, n
         ids, at = [], len(text)
         while at:
             ids.append(last[at])
             at -= size[at]
         ids.reverse()
-        if len(text) <= MEMORY_CHARS:
-            if len(self.runs) >= MEMORY:
-                self.runs.clear()
-            self.runs[text] = ids
         return ids
 
     def chunk(self, text: str) -> list[int]:
+        if self.single.issuperset(text):
+            return self.run(text)
         ids: list[int] = []
         start = 0
         for k, c in enumerate(text):
@@ -120,6 +123,8 @@ class Codec:
 
     def surface(self, ids: list[int]) -> str:
         """What ids stand for, space marks as spaces; runs of byte pieces are read as UTF-8."""
+        if self.plain.issuperset(ids):
+            return "".join([self.v.pieces[i] for i in ids]).replace(MARK, " ")
         pieces, special, by_id, out, held = self.v.pieces, self.v.special, self.byte_of, [], bytearray()
         for i in ids:
             if i in by_id:
