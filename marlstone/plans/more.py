@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rows as R
-from ..operators import select
+from ..operators import retrieval, select
 from .queries import query, r6
 from .tables import CODES_SQL, STEPS_SQL, coded_events, rollouts, steps, table
 
@@ -134,3 +134,17 @@ def top_covariance(spark, sf):
 @query("""SELECT category, count(*) AS n, round(avg(p), 6) AS priority FROM (SELECT o_orderpriority AS category, 4 * (o_totalprice / 600000) * (1 - o_totalprice / 600000) AS p FROM orders) GROUP BY 1""")
 def priorities_by_category(spark, sf):
     return rollouts(spark, sf).groupBy("category").agg(F.count("*").alias("n"), r6(F.avg(select.boundary_priority(F.col("score") / 600000))).alias("priority"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM s) WHERE r <= 10""")
+def nearest_vectors(spark, sf):
+    """The query vectors are those whose number is divisible by 20, held against all others."""
+    stored = table(spark, sf, "embeddings")
+    return retrieval.nearest(stored, stored.where("vec_id % 20 = 0"), "vec_id", "embedding").select("query_id", "id", r6(F.col("similarity")).alias("similarity"))
+
+
+@query("""SELECT doc_id, regexp_extract_all(text, '[0-9]+')[-1] AS last_number, len(string_split(text, ' ')) AS words FROM documents""")
+def last_numbers(spark, sf):
+    found = F.try_element_at(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), F.lit(-1))
+    return table(spark, sf, "documents").select("doc_id", found.alias("last_number"), F.size(F.split("text", " ")).cast("long").alias("words"))
