@@ -40,3 +40,51 @@ def entailed(anchors: Column, evidence: Column) -> Column:
 def first_failure(rows: DataFrame, keys: list[str], order: str, error: str) -> DataFrame:
     """keys, failed_at, error of the earliest failing row; groups without one are valid with nulls."""
     return rows.groupBy(*keys).agg(F.min(F.when(F.col(error).isNotNull(), F.col(order))).alias("failed_at"), F.min_by(error, F.when(F.col(error).isNotNull(), F.col(order))).alias("error"))
+
+
+def leaked(names: Column, text: Column) -> Column:
+    """The names that occur in a text as whole words, case ignored."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))
+    return F.filter(names, lambda n: F.array_contains(words, F.lower(n)))
+
+
+def visible_truth(visible: Column, truth: Column) -> Column:
+    """Whether the visible prompt holds the truth's JSON text."""
+    return F.coalesce(F.contains(visible, truth) & (F.length(truth) > 0), F.lit(False))
+
+
+def idle_turn_violations(gold: Column, calls: Column) -> Column:
+    """Numbers of the turns that should have no calls and have some; both are arrays of arrays of call texts."""
+    bad = F.zip_with(gold, calls, lambda g, c: (F.coalesce(F.size(g), F.lit(0)) == 0) & (F.coalesce(F.size(c), F.lit(0)) > 0))
+    return F.filter(F.transform(bad, lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
+
+
+def uniquely_recoverable(rows: DataFrame, keys: list[str], candidate: str) -> DataFrame:
+    """keys, candidates, recoverable: a withheld value is recoverable if exactly one candidate is on hand."""
+    return rows.groupBy(*keys).agg(F.count_distinct(candidate).alias("candidates")).withColumn("recoverable", F.col("candidates") == 1)
+
+
+def alignment_deltas(a: Column, b: Column) -> Column:
+    """Position by position the absolute difference of two arrays of counts; the shorter one is padded with 0."""
+    return F.zip_with(a, b, lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))))
+
+
+def units_allowed(quantities: Column, allowed: list[str]) -> Column:
+    """Whether all quantities (structs with ``unit``) have an allowed unit."""
+    return F.forall(quantities, lambda q: q["unit"].isin(allowed))
+
+
+def argument_failures(arguments: Column, allowed: Column, required: Column, most_chars: int = 200) -> Column:
+    """Of map<string, string> arguments: unknown, missing and overlong names, as ``kind:name``."""
+    names = F.map_keys(arguments)
+    tag = lambda kind, found: F.transform(found, lambda n: F.concat(F.lit(kind + ":"), n))
+    return F.array_sort(F.concat(tag("unknown", F.array_except(names, allowed)), tag("missing", F.array_except(required, names)), tag("long", F.filter(names, lambda n: F.length(arguments[n]) > most_chars))))
+
+
+def terminal_contract(status: Column, candidate: Column, reason: Column) -> dict[str, Column]:
+    """Rules of a terminal record: a known status, a candidate exactly if it succeeded, a reason exactly if it was dropped."""
+    return {
+        "status": status.isin("SUCCEEDED", "DROPPED"),
+        "candidate": (status == "SUCCEEDED") == candidate.isNotNull(),
+        "reason": (status == "DROPPED") == reason.isNotNull(),
+    }
