@@ -1,12 +1,12 @@
 """Exact substring deduplication by bucket-pointer refinement.
 
 Every byte position has bucket identifiers of growing length, each made of two identifiers of half the length
-at offsets already known (1, 2, 4, 8, 16, 32 bytes, then 20 and 50 by overlap), so updates are reused
+at offsets already known (1, 2, 4, 8, 16, 32 bytes, then 24 and 50 by overlap), so updates are reused
 recursively as in the refinement of a suffix array. Only anchors are bucketed: in each string of 50 bytes the
-position whose 20-byte bucket has the smallest identifier. Equal strings have equal anchors, so buckets of
-anchors hold every repeat, with a fifteenth of all positions.
+position whose 24-byte bucket has the smallest identifier. Equal strings have equal anchors, so buckets of
+anchors hold every repeat, with a thirteenth of all positions.
 
-Level 1 sorts anchors by (bucket of 20 bytes, identifiers of the first and last string of the anchor's
+Level 1 sorts anchors by (bucket of 24 bytes, identifiers of the first and last string of the anchor's
 stretch): stretches equal to one of a smaller document go whole. Level 2 refines only buckets that still mix
 different stretches of several documents, by the 50-byte identifiers at all their offsets. Before either
 shuffle each task keeps the smallest document of a key and removes the others' bytes at once, so a passage
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, steps, table, texts
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 24
 #: Text bytes whose keys are pre-aggregated together in a task; strings in one segment of a very long text.
 GATHER, SEGMENT = 8 << 20, 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -42,7 +42,7 @@ def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers of the 20 and of the 50 bytes from each position on."""
+    """Bucket identifiers of the 24 and of the 50 bytes from each position on."""
     size, x = 1, _BYTES[data]
     while size < 16:
         x, size = _join(x[:-size], x[size:]), 2 * size
