@@ -83,6 +83,42 @@ def test_passages_cover_repeats_and_spare_others(docs):
     assert {d: c for d, c in got.items() if d in want} == want and got[20] == 20
 
 
+def test_passages_alike_at_any_start():
+    rng = random.Random(17)
+    numbers = lambda text: passages.rolling(passages.Words().numbers([text.encode()])[0], passages.SIZE)
+    for trial in range(60):
+        w = words(rng, 52 - trial % 3).split()
+        edited = w[:]
+        if trial % 2:
+            edited[rng.randrange(len(w))] = "edit"
+        elif trial % 4:
+            edited.insert(25, "more")
+        one, two = (" ".join([words(rng, rng.randrange(60)), *v, words(rng, rng.randrange(60))]) for v in (w, edited))
+        if trial % 5 == 0:
+            one, two = "ä " * rng.randrange(40, 60) + one[:60], one[:30] + " ä" * rng.randrange(40, 60)
+        x, y = numbers(one), numbers(two)
+        want = passages.brute_force([(1, one), (2, two)])[2] == 1
+        for offsets in ([], [0, 7]):
+            at = passages.alike(x, y, offsets, 80)
+            assert (at is not None) == want
+            if at:
+                p, q = set(x[at[0] : at[0] + passages.SPAN].tolist()), set(y[at[1] : at[1] + passages.SPAN].tolist())
+                assert 100 * len(p & q) >= 80 * len(p | q)
+
+
+def test_passages_of_fifty_words_with_one_edit(spark):
+    rng, rows = random.Random(50), []
+    for k in range(40):
+        w = words(rng, 50, 4000).split()
+        edited = w[:]
+        edited[20] = "edit"
+        rows += [(2 * k + c, " ".join([words(rng, 40, 4000), *v, words(rng, 40, 4000)])) for c, v in enumerate((w, edited))]
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(frame(spark, rows)).collect()}
+    want = passages.brute_force(rows)
+    assert sum(want[d] != d for d in want) == 40
+    assert sum(got[d] == want[d] for d in want if want[d] != d) >= 39 and all(got[d] in (d, want[d]) for d in want)
+
+
 def test_decontamination_equals_brute_force(spark, docs):
     rng = random.Random(5)
     texts = dict(fixture())
