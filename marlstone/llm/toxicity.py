@@ -3,7 +3,7 @@
 Features are present or absent: hashed words, word pairs, and pairs with one word between. Per-coordinate
 learning rates and an L1 penalty leave a sparse weight vector whose size is at most ``2 ** BITS`` entries
 whatever the corpus, so it is broadcast. The classifier is fitted on a bounded sample of labelled rows
-(``SAMPLE`` rows, smallest hashes of the id first) in one task; scoring covers every whole text.
+(``SAMPLE`` rows, smallest hashes of the id first) in one task; fitting and scoring take whole texts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from .common import steps, table, texts
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 24_000
-#: Words of a sampled text that are used in fitting; scoring always takes whole texts.
-FIT_WORDS = 2_000
 #: The L1 penalty is L1_RATE * sqrt(rows), L1_MOST at most: few rows give each weight little evidence.
 ALPHA, BETA, L1_RATE, L1_MOST, L2, EPOCHS = 2.0, 1.0, 0.09, 5.0, 1.0, 3
 
@@ -103,7 +101,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
         hasher = Hasher()
         for batch in batches:
             for part in steps(batch, "doc_text"):
-                found = [b" ".join(t.translate(_TABLE).split()[:FIT_WORDS]) for t in texts(part, "doc_text")]
+                found = texts(part, "doc_text")
                 keys, doc = hasher.features(found)
                 both = np.unique(doc << BITS | keys)
                 cuts = np.searchsorted(both >> BITS, np.arange(len(found) + 1))

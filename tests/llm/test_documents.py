@@ -205,6 +205,14 @@ def test_toxicity_learns_markers_and_never_sees_held_out_rows(spark):
     assert toxicity.scored(fresh.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(4)
+    rows = [(k, words(rng, 2100) + (" vile scum" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(120)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame([(1, words(rng, 50) + " vile scum"), (2, words(rng, 50))], "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert suffixes.substring_dedup(empty).count() == 0
