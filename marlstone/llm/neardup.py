@@ -1,9 +1,9 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 Documents with equal shingle sets are one class from the start. Each class is posted under its
-(coordinate, value) pairs. A pair above the threshold shares LEAST of the POSTED coordinates but for a chance
+(coordinate, value) pairs. A pair above the threshold shares ``least`` of the POSTED coordinates but for a chance
 below 1e-6, so a class needs only the rarest of its postings (prefix filter), and none at all if fewer than
-LEAST of its pairs occur elsewhere (skip). In every posting list the most widely shared class is the hub:
+``least`` of its pairs occur elsewhere (skip). In every posting list the most widely shared class is the hub:
 candidates are first counted and confirmed against hubs, which is linear in the postings and merges copies
 around their original. Only lists that still span several components are then compared pair by pair: short
 ones over longer signatures, each pair in one list alone; long ones, clustered so that no pair comes twice, in
@@ -12,6 +12,7 @@ blocks of bounded size that yield only links between components. All links are c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,10 @@ from .common import Scratch, steps, table, texts
 from .components import connected_components
 from .shingles import Words, shingle_sets
 
-#: Coordinates that are posted, of these the least number that linked classes share; bytes of the longer signature, and its least matches.
-POSTED, LEAST, LONG, LONG_LEAST = 32, 16, 128, 88
+#: Coordinates that are posted; bytes of the longer signature; the chance with which a linked pair may share too few of either.
+POSTED, LONG, MISS = 32, 128, 1e-6
+#: Similarity of the pipeline's stage; the query has 85.
+STAGE_PERCENT = 80
 #: Members of a short posting list, and of one part of a cluster of long ones.
 BLOCK = 256
 #: Shingles in such a part, so that long texts make smaller parts.
@@ -35,6 +38,17 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(20240601).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def shared_least(percent: int, n: int) -> int:
+    """The most of n coordinates that a pair of this similarity falls short of with a chance below MISS only."""
+    tail, k = 0.0, 0
+    while k < n:
+        tail += math.comb(n, k) * (percent / 100) ** k * (1 - percent / 100) ** (n - k)
+        if tail >= MISS:
+            break
+        k += 1
+    return max(k, 1)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, n (shingles), set_a, set_b (128 bits that name the set), posted (POSTED ints), long (LONG bytes)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
@@ -88,12 +102,12 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, long_a, long_b) the pairs with LONG_LEAST equal coordinates."""
+def _counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, long_a, long_b) the pairs with ``least`` equal coordinates."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, LONG) for c in ("long_a", "long_b"))
-            keep = pa.array((x == y).sum(1) >= LONG_LEAST)
+            keep = pa.array((x == y).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
@@ -118,14 +132,14 @@ def _by_block(batches: Iterator[pa.RecordBatch], solve, columns: tuple[str, ...]
         yield out()
 
 
-def _counted_pairs(rows: list[tuple]) -> tuple[list, list]:
+def _counted_pairs(rows: list[tuple], least: int) -> tuple[list, list]:
     """Of one short list the pairs across components that agree enough, each in the first list that both are in."""
     docs, components, slot = [r[1] for r in rows], np.array([r[2] for r in rows], dtype=object), rows[0][6]
     x = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, LONG)
     prefixes, posted = np.array([r[4] for r in rows], dtype=np.int64), np.array([r[5] for r in rows], dtype=np.int32)
     bits, a, b = np.int64(1) << np.arange(POSTED, dtype=np.int64), [], []
     for k in range(len(rows) - 1):
-        agree = k + 1 + np.flatnonzero((x[k] == x[k + 1 :]).sum(1) >= LONG_LEAST)
+        agree = k + 1 + np.flatnonzero((x[k] == x[k + 1 :]).sum(1) >= least)
         agree = agree[(components[agree] != components[k]).astype(bool)]
         if len(agree):
             common = ((posted[k] == posted[agree]) @ bits) & prefixes[k] & prefixes[agree]
@@ -182,11 +196,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are split at ASCII white space after lower-casing A-Z; shingles have five words, fewer words are one
     shingle. Rows are linked when 100 * intersection >= percent * union; a component's id is its smallest id.
     Null, empty and wordless texts have no shingles and are alone. Rows without an id are alone, have a null
-    component and stay. Repeated rows share a component. ``percent`` is 85 at least: the signature thresholds
-    are set for it. Further columns are not read.
+    component and stay. Repeated rows share a component. The thresholds on signatures follow ``percent``.
+    Further columns are not read.
     """
-    if percent < 85:
-        raise ValueError("the thresholds on signatures are set for 85 percent and more")
+    least, long_least = shared_least(percent, POSTED), shared_least(percent, LONG)
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     base = scratch.cut(signatures(docs, id_col, text_col))
@@ -199,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefix = (
         postings.join(shared.hint("merge"), ["slot", "value"]).groupBy("doc")
         .agg(F.array_sort(F.collect_list(F.struct("df", "slot", "value"))).alias("p"), F.sum("df").alias("fame"))  # POSTED at most
-        .where(F.size("p") >= LEAST).withColumn("p", F.expr(f"slice(p, 1, size(p) - {LEAST - 1})"))
+        .where(F.size("p") >= least).withColumn("p", F.expr(f"slice(p, 1, size(p) - {least - 1})"))
         .withColumn("slots", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.pow(F.lit(2.0), x["slot"]).cast("long")))
     )
     prefix = scratch.cut(prefix.select("doc", "fame", "slots", F.transform("p", lambda x: F.struct(x["slot"].alias("slot"), x["value"].alias("value"))).alias("p")))
@@ -209,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = classes.select("doc", "long")
     kind = classes.schema["doc"].dataType.simpleString()
     pairs = pairs.join(signs.select(F.col("doc").alias("b"), F.col("long").alias("long_b")), "b").join(signs.select(F.col("doc").alias("a"), F.col("long").alias("long_a")), "a")
-    pairs = scratch.cut(pairs.select("a", "b", "long_a", "long_b").mapInArrow(_counted, f"a {kind}, b {kind}"))
+    pairs = scratch.cut(pairs.select("a", "b", "long_a", "long_b").mapInArrow(lambda x: _counted(x, long_least), f"a {kind}, b {kind}"))
     # texts of what may still be compared are set aside once
     source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
     held = scratch.cut(source.join(prefix.select("doc").hint("merge"), "doc"))  # merged at any size, so that growth shows
@@ -222,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = lists.join(open_lists.where(F.col("members") <= BLOCK).select("key"), "key").join(classes.select("doc", "long", "posted").hint("merge"), "doc")
     short = short.select(F.concat_ws(":", "key.slot", "key.value").alias("block"), "doc", "component", "long", "slots", "posted", F.col("key.slot").alias("slot"))
     columns = ("block", "doc", "component", "long", "slots", "posted", "slot")
-    found = short.repartition("block").sortWithinPartitions("block").mapInArrow(lambda x: _by_block(x, _counted_pairs, columns), f"a {kind}, b {kind}")
+    found = short.repartition("block").sortWithinPartitions("block").mapInArrow(lambda x: _by_block(x, lambda rows: _counted_pairs(rows, long_least), columns), f"a {kind}, b {kind}")
     more = scratch.cut(_confirmed(scratch.cut(found), held, percent))
     # long ones: lists with common documents are one cluster, dealt to parts; each pair of parts is one block, which
     # yields only links that join components, a row for each of its documents at most
@@ -252,8 +265,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of similarity STAGE_PERCENT stays, that of the smallest doc_id."""
+    dropped = near_duplicates(docs, percent=STAGE_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

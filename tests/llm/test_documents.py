@@ -76,6 +76,20 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     assert got == neardup.brute_force(rows)
 
 
+def test_near_duplicates_of_eighty_percent_in_the_stage(spark):
+    rng, rows = random.Random(80), []
+    for k in range(6):
+        w = words(rng, 200, 4000).split()
+        edited = w[:]
+        for at in (30, 70, 110, 150):
+            edited[at] = "edit"  # 176 of 216 shingles: 0.815
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edited))]
+    want = neardup.brute_force(rows, 80)
+    assert not any(want[2 * k + 1][2] for k in range(6))
+    assert {r.doc_id for r in neardup.stage(spark, frame(spark, rows), "").collect()} == {d for d, v in want.items() if v[2]}
+    assert all(v[2] for v in neardup.brute_force(rows).values()) and [neardup.shared_least(p, n) for p in (80, 85) for n in (32, 128)] == [13, 79, 16, 87]
+
+
 def test_passages_cover_repeats_and_spare_others(docs):
     rows = fixture()
     got = {r.doc_id: r.class_id for r in passages.passage_classes(docs).collect()}
