@@ -240,3 +240,32 @@ def test_rows_without_ids(spark):
     got = sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(rows).collect() if r.doc_id is not None)
     assert got == [(False, 0, 0, True), (False, 1, 1, True)]
     assert all(r.kept and r.component_id is None for r in neardup.near_duplicates(rows).where("doc_id IS NULL").collect())
+
+
+def test_passages_with_a_word_substituted_inserted_or_deleted(spark):
+    rng, rows = random.Random(51), []
+    for k in range(90):
+        w = words(rng, 50, 4000).split()
+        edited, at = w[:], rng.randrange(12, 38)
+        if k % 3 == 0:
+            edited[at] = "edit"
+        elif k % 3 == 1:
+            edited.insert(at, "edit")
+        else:
+            edited = edited[:at] + edited[at + 1 :] + ["tail"]
+        rows += [(2 * k + c, " ".join([words(rng, 40, 4000), *v, words(rng, 40, 4000)])) for c, v in enumerate((w, edited))]
+    texts = dict(rows)
+    want = [k for k in range(90) if passages.brute_force([(0, texts[2 * k]), (1, texts[2 * k + 1])])[1] == 0]
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(frame(spark, rows)).collect()}
+    assert len(want) > 80 and sum(got[2 * k + 1] == 2 * k for k in want) >= 0.93 * len(want)
+    assert all(got[d] in (d, d - 1) for d in got)
+
+
+def test_passages_whose_signatures_smaller_documents_take(spark):
+    rng, rows = random.Random(52), []
+    for k in range(0, 80, 4):
+        w = words(rng, 60, 4000).split()
+        parts = (w[:40], w[20:], w, w)  # the first two share too little with any other one
+        rows += [(k + c, " ".join([words(rng, 30, 4000), *p, words(rng, 30, 4000)])) for c, p in enumerate(parts)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in passages.passage_classes(frame(spark, rows)).collect()}
+    assert all(got[k] == (k, 0) and got[k + 1] == (k + 1, 0) and got[k + 3] == (k + 2, 1) for k in range(0, 80, 4))
