@@ -38,14 +38,12 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch) ->
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.cut(_minima(both))
-        large = scratch.cut(_lowered(both, least, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        least_large = scratch.cut(_minima(large))
+        large = scratch.cut(_lowered(both, _minima(both), 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         # the smallest neighbour keeps its edge, every other one is moved to it
-        made = scratch.cut(_lowered(large, least_large, mark[0]).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
+        made = scratch.cut(_lowered(large, _minima(large), mark[0]).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
         now = _mark(made)
-        for done in (e, least, large, least_large):
-            scratch.drop(done)
+        scratch.drop(e)
+        scratch.drop(large)
         e, before, mark = made, mark, now
         if now == before:
             break
