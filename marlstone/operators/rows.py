@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """Rows written to the checkpoint folder, whose partitions stay as they are; a folder of its own where none is set."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+    return rows.checkpoint()
+
+
 def numbered(rows: DataFrame, order: list[str], out: str = "row_id") -> DataFrame:
-    """Adds row numbers from 0. The order is global, so only (order, number) should go through it on large inputs."""
-    return rows.withColumn(out, F.row_number().over(Window.orderBy(*order)) - 1)
+    """Adds row numbers from 0 in a global order: rows are dealt by range and sorted, then numbered within partitions.
+
+    Only a row count for each partition goes through a window without keys.
+    """
+    sorted_rows = held(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = sorted_rows.withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(out, (F.col("_start") + F.col("_pos")).cast("long")).drop("_part", "_pos", "_start")  # a row for each partition
 
 
 def at_positions(rows: DataFrame, row: str, positions: list[int]) -> DataFrame:

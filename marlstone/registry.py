@@ -1,9 +1,9 @@
 """The library's queries and their SQL; the training-data operators have a registry of their own."""
 
-from .plans import more
+from .plans import more, reports
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "advantage_group_normalised"
-MODULES = [more]
+MODULES = [more, reports]
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
