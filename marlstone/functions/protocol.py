@@ -21,9 +21,9 @@ def action(text: Column) -> Column:
     """struct(attempted, error, body): a message must be one think block and then one tool_call or answer block, with
     nothing outside; a tool call's body must be JSON. ``error`` is the first rule broken, null for a valid message;
     ``attempted`` is what the message tries, valid or not. Null and empty messages are ``empty``."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
     think, call, answer = _count(t, "think"), _count(t, "tool_call"), _count(t, "answer")
-    residue = F.trim(F.regexp_replace(t, r"(?s)<(think|tool_call|answer)>.*?</\1>", ""))
+    residue = F.regexp_replace(t, r"(?s)<(think|tool_call|answer)>.*?</\1>|\s", "")
     error = (
         F.when(t == "", "empty")
         .when(think == 0, "no_think")

@@ -113,9 +113,9 @@ def zero_filled(rows: DataFrame, name: str, names: list[str], latency: str) -> D
 def human_size(size: Column) -> Column:
     """A size in bytes with its unit, two decimals."""
     units = ["B", "KB", "MB", "GB", "TB"]
-    out = F.format_string("%.2f TB", size / 1024.0**4)
+    out = F.format_string("%.2f TB", F.bround(size / 1024.0**4, 2))
     for k in range(3, -1, -1):
-        out = F.when(size < 1024.0 ** (k + 1), F.format_string(f"%.2f {units[k]}", size / 1024.0**k)).otherwise(out)
+        out = F.when(size < 1024.0 ** (k + 1), F.format_string(f"%.2f {units[k]}", F.bround(size / 1024.0**k, 2))).otherwise(out)
     return out
 
 

@@ -11,7 +11,7 @@ from .queries import query, r6
 from .tables import CODES_SQL, STEPS_SQL, coded_events, rollouts, steps, table
 
 
-@query("""WITH n AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS row_id FROM customer) SELECT k, CAST(row_id AS INT) AS row_id FROM n WHERE row_id >= 10 AND row_id < 1000 AND (row_id - 10) % 7 = 0""")
+@query("""WITH n AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS row_id FROM customer) SELECT k, CAST(row_id AS BIGINT) AS row_id FROM n WHERE row_id >= 10 AND row_id < 1000 AND (row_id - 10) % 7 = 0""")
 def positional_slice(spark, sf):
     rows = R.numbered(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), ["k"])
     return R.every(rows, "row_id", 10, 1000, 7)

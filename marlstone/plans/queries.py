@@ -184,10 +184,10 @@ def best_of_n_by_segment(spark, sf):
     return found.select("segment", "n", F.round("best", 4).alias("best"), F.round("worst", 4).alias("worst"))
 
 
-@query("""SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN value END), 4) AS high_mean, count(DISTINCT user_id) AS users, round(avg(CAST(value > 50 AS DOUBLE)), 6) AS high_rate FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN value END), 6) AS high_mean, count(DISTINCT user_id) AS users, round(avg(CAST(value > 50 AS DOUBLE)), 6) AS high_rate FROM events GROUP BY event_type""")
 def conditional_rates(spark, sf):
     high = F.col("value") > 50
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.when(high, F.col("value"))), 4).alias("high_mean"), F.countDistinct("user_id").alias("users"), r6(F.avg(high.cast("double"))).alias("high_rate"))
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg(F.when(high, F.col("value")))).alias("high_mean"), F.countDistinct("user_id").alias("users"), r6(F.avg(high.cast("double"))).alias("high_rate"))
 
 
 @query(f"""WITH {CODES_SQL} SELECT CASE WHEN day(day) <= 10 THEN 'early' WHEN day(day) <= 20 THEN 'middle' ELSE 'late' END AS region, count(*) AS n, round(avg(value), 4) AS mean FROM coded GROUP BY 1""")

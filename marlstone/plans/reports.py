@@ -53,10 +53,10 @@ def aggregates_with_counters(spark, sf):
     return rounded(R.aggregate_with_counters(coded_events(spark, sf), ["event_type", "day"], ["value", "code"], "code", [-3, 1]))
 
 
-@query("""SELECT o_custkey AS uid, round(f, 2) AS F, round(o, 2) AS O, round(p, 2) AS P, round(o - f, 2) AS F_to_O, round(p - f, 2) AS F_to_P, round(p - o, 2) AS O_to_P
+@query("""SELECT o_custkey AS uid, round(f, 6) AS F, round(o, 6) AS O, round(p, 6) AS P, round(o - f, 6) AS F_to_O, round(p - f, 6) AS F_to_P, round(p - o, 6) AS O_to_P
 FROM (SELECT o_custkey, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS f, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS o, avg(o_totalprice) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)""")
 def compared_models(spark, sf):
-    return rounded(R.compared(rollouts(spark, sf), "uid", "status", ["F", "O", "P"], "score"), 2)
+    return rounded(R.compared(rollouts(spark, sf), "uid", "status", ["F", "O", "P"], "score"), 6)
 
 
 @query("""WITH e AS (SELECT day(ts) AS step, CASE WHEN event_type <> 'error' THEN value END AS m FROM events WHERE day(ts) % 9 <> 4)
