@@ -9,7 +9,6 @@ scores of a bounded number of longest vectors, so every task prunes from the beg
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,11 +143,20 @@ def top_k(source: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
     turn = rotation(rows, dim)
     seeds = rows.orderBy(F.desc("n2"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
     seed_ids, seed_rows = np.asarray(seeds.column("vec_id")), _matrix(seeds.column("v").combine_chunks(), dim)
-    asked = rows.where(is_query(F.col("vec_id"))).select("vec_id", "v").toLocalIterator()
-    parts = []
-    while block := list(itertools.islice(asked, QUERY_BLOCK)):
-        q = np.array([r.v + [0.0] * (dim - len(r.v)) for r in block])
-        shared = spark.sparkContext.broadcast(Block(np.array([r.vec_id for r in block]), q, turn, seed_ids, seed_rows, k, bool(scale)))
+    # queries are numbered over partition counts and kept as blocks; one block at a time is broadcast and its own best are written
+    asked = scratch.cut(rows.where(is_query(F.col("vec_id"))).select("vec_id", "v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = asked.groupBy("part").agg(F.max(F.col("pos") + 1).alias("n")).select("part", before.alias("start"))  # a row for each partition
+    asked = scratch.cut(asked.join(F.broadcast(starts), "part").select("vec_id", "v", F.floor((F.col("start") + F.col("pos")) / QUERY_BLOCK).alias("block")))
+    last = asked.agg(F.max("block")).first()[0]
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = None
+    for number in range(0 if last is None else last + 1):
+        block = asked.where(F.col("block") == number).select("vec_id", "v").toArrow()  # QUERY_BLOCK rows at most
+        if not block.num_rows:
+            continue
+        q = _matrix(block.column("v").combine_chunks(), dim)
+        shared = spark.sparkContext.broadcast(Block(np.asarray(block.column("vec_id")), q, turn, seed_ids, seed_rows, k, bool(scale)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -156,14 +164,14 @@ def top_k(source: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
             q, ids, score = block.search(chunks)
             yield pa.RecordBatch.from_arrays([pa.array(block.ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(score.astype(np.int64) if block.whole else score)], names=["query_id", "vec_id", "score"])
 
-        parts.append(rows.select("vec_id", "v").mapInArrow(search, result))
-    if not parts:
+        each = rows.select("vec_id", "v").mapInArrow(search, result)
+        each = scratch.cut(each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        shared.destroy()
+        found = each if found is None else found.unionByName(each)
+    if found is None:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {kind}")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)  # k rows a query; repeated ids may be in two blocks
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
