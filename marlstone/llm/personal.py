@@ -24,9 +24,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{9,}+"
-#: The gazetteer: words before a span that name what it is.
-WORDS = ["account", "api", "auth", "bearer", "iban", "key", "passport", "passwd", "password", "pin", "secret", "ssn", "tax", "token"]
+CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{9,}+"
+#: The gazetteer: words before a span that name what it is, in English, German, French and Spanish.
+WORDS = [
+    "account", "api", "auth", "bearer", "credential", "iban", "key", "licence", "license", "passport", "passwd", "password", "pin", "secret", "ssn", "tax", "token",
+    "ausweis", "geheimnis", "kennwort", "konto", "kontonummer", "passwort", "reisepass", "schl\u00fcssel", "steuernummer", "zugangscode",
+    "cl\u00e9", "compte", "identifiant", "jeton", "motdepasse", "passeport", "num\u00e9ro fiscal",
+    "clave", "contrase\u00f1a", "cuenta", "pasaporte", "secreto", "tarjeta",
+]
 _MARK, _OTHER = "\u0001", "\u0002"
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string,hit:string,before:string>>"
 
@@ -93,7 +98,7 @@ def _described(s: Column) -> Column:
     hit, before = s["hit"], F.lower(s["before"])
     size, digits = F.length(hit), F.length(_digits(hit))
     hexed, plain = hit.rlike("^[0-9a-fA-F]{24,}$"), hit.rlike("^[0-9-]+$")
-    named = before.rlike(r"\b(?:" + "|".join(WORDS) + r")\b[^a-z0-9]{0,6}$")
+    named = before.rlike(r"(?U)\b(?:" + "|".join(WORDS) + r")\b[^a-z0-9]{0,6}$")
     quoted = before.rlike(r"""["'`]$""")
     assigned = before.rlike(r"""[=:]\s{0,3}["'`]?$""")
     vote = lambda yes, no: F.when(yes, 1).when(no, 0).otherwise(2)

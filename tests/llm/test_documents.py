@@ -178,6 +178,14 @@ def test_personal_data_equals_brute_force(spark):
     assert personal.fit(docs.limit(0)) is None and personal.personal_spans(docs.limit(0), None).count() == 0
 
 
+def test_digits_late_in_a_token_are_candidates(spark):
+    token = "a" * 70 + "3f9c1b7d5e2a4086" * 2
+    texts = ['key: "' + token + '"', 'key: "' + token[:60] + token[-32:] + '"'] + PERSONAL
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = personal.candidates(personal.base_spans(docs, "text")).select("doc_id", "extra").collect()
+    assert [len(r.extra) for r in sorted(found)[:2]] == [1, 1]
+
+
 def test_weak_labels_find_the_reliable_labeler():
     post = personal.reliabilities({"1112": 40, "0002": 40, "1102": 5, "0012": 5, "2221": 1})
     assert post["1112"] > 0.9 and post["0002"] < 0.1
