@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, steps, table, texts
@@ -242,13 +242,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = scratch.cut(lists.join(open_lists.where(F.col("members") > BLOCK).select("key"), "key").select("key", "doc", "component"))
     if not long.isEmpty():
         stars = long.join(long.groupBy("key").agg(F.min("doc").alias("first")), "key").select("doc", "first")
-        clusters = connected_components(stars, "doc", "first", scratch)
-        clusters = clusters.join(classes.select(F.col("doc").alias("node"), "n"), "node")
-        sizes = clusters.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-        dealt = clusters.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "parts", F.pmod(F.hash("node"), F.col("parts")).alias("part"))
-        pairs_of_parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.concat_ws(":", "cluster", F.least("part", other), F.greatest("part", other)))
-        labels = long.select("doc", "component").distinct()
-        rows = dealt.withColumn("block", F.explode(pairs_of_parts)).select("block", "doc").join(labels, "doc").join(held.hint("merge"), "doc").select("block", "doc", "component", "doc_text")
+        # Components of more than a part have parts of their own, small ones share parts; parts of one component are not
+        # held against each other, so most of a cluster meets only what is not yet linked to it.
+        labels = long.select("doc", F.col("component").alias("of")).distinct()
+        clusters = connected_components(stars, "doc", "first", scratch).select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", "n"), "doc").join(labels, "doc")
+        large = clusters.groupBy("cluster", "of").agg(F.when(F.count("*") > BLOCK, F.concat(F.lit("of:"), F.col("of").cast("string"))).otherwise("").alias("group"))
+        clusters = scratch.cut(clusters.join(large, ["cluster", "of"]))
+        sizes = clusters.groupBy("cluster", "group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+        every = Window.partitionBy("cluster")  # a row for each BLOCK documents at most
+        sizes = sizes.withColumns({"total": F.sum("parts").over(every).cast("int"), "first": F.coalesce(F.sum("parts").over(every.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")})
+        dealt = clusters.join(sizes, ["cluster", "group"]).withColumn("part", F.col("first") + F.pmod(F.hash("doc"), F.col("parts")))
+        met = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda other: (F.col("group") == "") | (other < F.col("first")) | (other >= F.col("first") + F.col("parts")))
+        blocks = F.transform(met, lambda other: F.concat_ws(":", "cluster", F.least("part", other), F.greatest("part", other)))
+        rows = dealt.withColumn("block", F.explode(blocks)).select("block", "doc", F.col("of").alias("component")).join(held.hint("merge"), "doc").select("block", "doc", "component", "doc_text")
         solve = _linked_blocks(percent)
         joined = rows.repartition("block").sortWithinPartitions("block").mapInArrow(lambda x: _by_block(x, solve, ("block", "doc", "component", "doc_text")), f"a {kind}, b {kind}")
         more = scratch.cut(more.unionByName(joined))
