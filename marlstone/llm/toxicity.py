@@ -166,5 +166,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that score below one half (a column named score is replaced while it runs)."""
-    return scored(docs, model_of(spark, sf_dir, docs)).where("score < 0.5").select(docs.columns)
+    """Keeps the documents that score below one half (a column named score is replaced while it runs).
+
+    Without labelled rows of both classes among ``docs`` nothing is learnt and every document stays.
+    """
+    kept, weights, bias = model_of(spark, sf_dir, docs)
+    if not len(kept) and bias == 0.0:
+        return docs
+    return scored(docs, (kept, weights, bias)).where("score < 0.5").select(docs.columns)
