@@ -277,3 +277,51 @@ def test_passages_whose_signatures_smaller_documents_take(spark):
         rows += [(k + c, " ".join([words(rng, 30, 4000), *p, words(rng, 30, 4000)])) for c, p in enumerate(parts)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in passages.passage_classes(frame(spark, rows)).collect()}
     assert all(got[k] == (k, 0) and got[k + 1] == (k + 1, 0) and got[k + 3] == (k + 2, 1) for k in range(0, 80, 4))
+
+
+def test_ftrl_equals_a_plain_loop():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(40, 8, replace=False)).astype(np.int32), int(k % 3 == 0)) for k in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 1.0
+    z, n, order = {}, {}, np.random.default_rng(7)  # None is the bias, without penalties
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if i is None:
+            return -zi / ((beta + math.sqrt(ni)) / alpha)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(ni)) / alpha + l2)
+
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            on = [*x.tolist(), None]
+            w = {i: weight(i) for i in on}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in on:
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    kept, got, bias = toxicity.ftrl(rows, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    want = {i: weight(i) for i in z if i is not None and weight(i)}
+    assert set(kept.tolist()) == set(want) and all(abs(want[i] - v) < 1e-9 for i, v in zip(kept.tolist(), got, strict=True)) and abs(bias - weight(None)) < 1e-9
+
+
+def test_held_out_labels_change_no_score(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.001"
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pylist()
+    import zlib
+
+    for r in labels:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0:
+            r["toxic"] = 1 - r["toxic"] if r["toxic"] is not None else 1
+    pq.write_table(pa.Table.from_pylist(labels), tmp_path / "labels.parquet")
+    pq.write_table(pq.read_table(f"{sf}/documents.parquet"), tmp_path / "documents.parquet")
+    scores = lambda at: {r.doc_id: r.score for r in toxicity.query(spark, str(at)).collect()}
+    assert scores(sf) == scores(tmp_path)
