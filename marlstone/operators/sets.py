@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def content_id(prefix: str, *columns: Column) -> Column:
-    """A stable identity: the prefix and the first 24 hex digits of the SHA-256 of the columns' canonical JSON."""
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 24))
+    """A stable identity: the prefix and the first 24 hex digits of the SHA-256 of the columns' JSON, fields sorted by name."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.to_json(F.struct(*sorted(columns, key=str))), 256), 1, 24))
 
 
 def duplicates_routed(rows: DataFrame, key: list[str], order: list[str], id_col: str) -> DataFrame:
