@@ -181,7 +181,7 @@ def fused_advantage(spark, sf):
 
 
 @query("""WITH g AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*)) SELECT l_orderkey, l_linenumber FROM lineitem JOIN g USING (l_orderkey)""")
-def contiguous_turns(spark, sf):
+def contiguous_turn_rows(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("j", F.col("l_linenumber") - 1)
     return C.contiguous_turns(rows, ["l_orderkey"], "j").select("l_orderkey", "l_linenumber")
 
