@@ -1,6 +1,6 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import archive, decontaminate, innerproduct, neardup, passages, personal, pieces, suffixes, toxicity, urlfilter
+from . import alignment, archive, decontaminate, innerproduct, neardup, passages, personal, pieces, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_toxicity": toxicity.query,
     "op10_topk": innerproduct.query,
+    "op13_alignment": alignment.query,
 }
 
 ORACLE_SQL = {
