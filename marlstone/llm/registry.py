@@ -1,6 +1,6 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import alignment, archive, decontaminate, innerproduct, neardup, passages, personal, pieces, suffixes, toxicity, urlfilter
+from . import alignment, archive, audit, decontaminate, innerproduct, neardup, passages, personal, pieces, sharding, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_toxicity": toxicity.query,
     "op10_topk": innerproduct.query,
+    "op11_sharding": sharding.query,
+    "op12_filter_audit": audit.query,
     "op13_alignment": alignment.query,
 }
 
@@ -21,4 +23,6 @@ ORACLE_SQL = {
     "op5_warc_zip": archive.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op10_topk": innerproduct.SQL,
+    "op11_sharding": sharding.SQL,
+    "op12_filter_audit": audit.SQL,
 }
