@@ -13,6 +13,7 @@ blocks of bounded size that yield only links between components. All links are c
 from __future__ import annotations
 
 import math
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,15 +50,16 @@ def shared_least(percent: int, n: int) -> int:
     return max(k, 1)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, n (shingles), set_a, set_b (128 bits that name the set), posted (POSTED ints), long (LONG bytes)."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
+    """doc, n (shingles), set_a, set_b (128 bits that name the set), posted (POSTED ints), long (LONG bytes), and the text's SHA-256 where it is asked for."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, multipliers = Words(), _multipliers(LONG)
         for whole in batches:
             for batch in steps(whole, "doc_text"):
-                sets = shingle_sets(*words.numbers(texts(batch, "doc_text")))
+                read = texts(batch, "doc_text")
+                sets = shingle_sets(*words.numbers(read))
                 size = np.array([len(s) for s in sets])
                 some = np.flatnonzero(size)
                 least = np.zeros((len(sets), LONG), dtype=np.uint64)
@@ -72,11 +74,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 posted = (least[:, :POSTED] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 longer = np.ascontiguousarray((least * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc"), pa.array(size, pa.int64()), pa.array(names[:, 0].view(np.int64)), pa.array(names[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * POSTED, pa.int32()), pa.array(posted.ravel())), pa.array([x.tobytes() for x in longer], pa.binary())],
-                    names=["doc", "n", "set_a", "set_b", "posted", "long"],
+                    [batch.column("doc"), pa.array(size, pa.int64()), pa.array(names[:, 0].view(np.int64)), pa.array(names[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * POSTED, pa.int32()), pa.array(posted.ravel())), pa.array([x.tobytes() for x in longer], pa.binary()), *[pa.array([hashlib.sha256(t).digest() for t in read], pa.binary())] * digest],
+                    names=["doc", "n", "set_a", "set_b", "posted", "long", *["digest"] * digest],
                 )
 
-    return rows.mapInArrow(sign, f"doc {rows.schema['doc'].dataType.simpleString()}, n long, set_a long, set_b long, posted array<int>, long binary")
+    return rows.mapInArrow(sign, f"doc {rows.schema['doc'].dataType.simpleString()}, n long, set_a long, set_b long, posted array<int>, long binary" + ", digest binary" * digest)
 
 
 def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -190,8 +192,8 @@ def _linked_blocks(percent: int):
     return solve
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """id_col, n_shingles, component_id, kept for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, digest: bool = False) -> DataFrame:
+    """id_col, n_shingles, component_id, kept and, where asked for, digest (the text's SHA-256) for every row.
 
     Words are split at ASCII white space after lower-casing A-Z; shingles have five words, fewer words are one
     shingle. Rows are linked when 100 * intersection >= percent * union; a component's id is its smallest id.
@@ -202,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least, long_least = shared_least(percent, POSTED), shared_least(percent, LONG)
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    base = scratch.cut(signatures(docs, id_col, text_col))
+    base = scratch.cut(signatures(docs, id_col, text_col, digest))
     some = base.where("n > 0 AND doc IS NOT NULL")
     classes = some.groupBy("set_a", "set_b", "n").agg(F.min("doc").alias("doc"), F.min("posted").alias("posted"), F.min("long").alias("long"))
     classes = scratch.cut(classes.select("doc", "set_a", "set_b", "n", "posted", "long"))
@@ -261,9 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more), "a", "b", scratch)
     of_class = classes.select("doc", "set_a", "set_b", "n").join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", "n", F.coalesce("component", "doc").alias("component_id"))
-    out = base.select("doc", "n", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n"], "left")
+    out = base.select("doc", "n", "set_a", "set_b", *["digest"] * digest).join(of_class, ["set_a", "set_b", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id")).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"), *["digest"] * digest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,9 +273,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity STAGE_PERCENT stays, that of the smallest doc_id."""
-    dropped = near_duplicates(docs, percent=STAGE_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of similarity STAGE_PERCENT stays, that of the smallest doc_id.
+
+    A row goes by its id and its text: another text of the same id is judged for itself. Repeated rows and rows
+    without words stay.
+    """
+    dropped = near_duplicates(docs, percent=STAGE_PERCENT, digest=True).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "digest").distinct()
+    own = F.unhex(F.sha2(docs["text"].cast("string").cast("binary"), 256))
+    return docs.join(dropped, (docs["doc_id"] == F.col("_gone")) & (own == F.col("digest")), "left_anti")
 
 
 def brute_force(docs: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tuple[int, int, bool]]:

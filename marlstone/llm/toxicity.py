@@ -114,21 +114,21 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
         kept, w, bias = ftrl(rows) if len({y for _, y in rows}) == 2 else (np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([kept.astype(np.int64).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([float(bias)])], names=["k", "w", "b"])
 
-    chosen = rows.orderBy("h", "doc_text").limit(sample)  # the bound of the fit, not of what is scored
-    made = chosen.mapInArrow(extract, "h long, y int, x binary").repartition(1).mapInArrow(learn, "k binary, w binary, b double").first()
+    # the bound of the fit, not of what is scored; features first, so that no task gathers whole texts
+    made = rows.mapInArrow(extract, "h long, y int, x binary").orderBy("h", "y", "x").limit(sample).repartition(1).mapInArrow(learn, "k binary, w binary, b double").first()
     if made is None:
         return np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
     return np.frombuffer(made.k, dtype=np.int64), np.frombuffer(made.w, dtype=np.float64), made.b
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1). Null and empty texts get the score of the bias alone.
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out`` (0 to 1). Null and empty texts get the score of the bias alone.
 
-    A column named score is replaced; further columns are carried along. Nothing is shuffled.
+    A column named as ``out`` is replaced; further columns are carried along. Nothing is shuffled.
     """
     kept, w, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((kept.astype(np.int64), w, float(bias)))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "score"]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("doc_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, w, bias = shared.value
@@ -144,7 +144,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_co
                 total = np.bincount(both >> BITS, weights=dense[both & ((1 << BITS) - 1)], minlength=len(found)) + bias
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))), pa.float64())], names=["row", "score"])
 
-    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
+    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", F.col("score").alias(out))
 
 
 def held_out():
@@ -166,11 +166,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that score below one half (a column named score is replaced while it runs).
+    """Keeps the documents that score below one half, with all their columns.
 
     Without labelled rows of both classes among ``docs`` nothing is learnt and every document stays.
     """
     kept, weights, bias = model_of(spark, sf_dir, docs)
     if not len(kept) and bias == 0.0:
         return docs
-    return scored(docs, (kept, weights, bias)).where("score < 0.5").select(docs.columns)
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column of docs
+    return scored(docs, (kept, weights, bias), out=own).where(F.col(own) < 0.5).drop(own)

@@ -3,9 +3,10 @@
 import random
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import decontaminate, neardup
+from marlstone.llm import decontaminate, neardup, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,3 +40,15 @@ def test_stages_keep_what_they_should(spark):
     last = stages["sentencepiece"](spark, docs, SF).collect()
     assert len(last) == len(rows) + 1 and all(r.n_tokens == len(r.token_ids) for r in last)
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_another_text_of_a_dropped_id_stays(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, a, "en", "s", 1)], SCHEMA)
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.stage(spark, docs, SF).collect()) == sorted([(1, a), (5, b), (0, a)])
+
+
+def test_toxicity_keeps_a_column_named_score(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(7.0))
+    kept = toxicity.stage(spark, docs, SF)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and {r.score for r in kept.collect()} == {7.0}
