@@ -179,9 +179,9 @@ def unfolded_rows(spark, sf):
     return B.unfolded(folded_rows(spark, sf), "bucket", 4, ["n_name", "n_regionkey"])
 
 
-@query("""SELECT vec_id, chunk::INT AS chunk, list_transform(embedding[chunk * 16 + 1 : chunk * 16 + 16], lambda x: round(x::DOUBLE, 4)) AS embedding FROM embeddings, range(4) t(chunk) WHERE len(embedding) = 64""")
+@query("""SELECT vec_id, chunk::INT AS chunk, embedding[chunk * 16 + 1 : chunk * 16 + 16] AS embedding FROM embeddings, range(4) t(chunk) WHERE len(embedding) = 64""")
 def unfolded_chunks(spark, sf):
-    rows = table(spark, sf, "embeddings").where("size(embedding) = 64").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
+    rows = table(spark, sf, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding")
     return B.unfolded_chunks(rows, "embedding", 4).withColumn("chunk", F.col("chunk").cast("int"))
 
 
