@@ -7,6 +7,7 @@ import json
 import operator
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,9 +103,9 @@ def parsed(text: str | None) -> Iterator[tuple]:
     yield from rows
 
 
-@F.udtf(returnType=SCHEMA, useArrow=True)
+@F.udtf(returnType=SCHEMA)
 class call_rows:
-    """The table function: rows of a call text."""
+    """The table function for SQL and lateral joins: rows of a call text, a text at a time."""
 
     def eval(self, text: str) -> Iterator[tuple]:
         yield from parsed(text)
@@ -114,11 +115,25 @@ def with_calls(rows: DataFrame, text: str) -> DataFrame:
     """Columns of ``rows`` but those of SCHEMA, and a row for each call, each edge and each text that can't be read.
 
     kind call: call (place in the text), name, arguments (JSON of the keywords), depth; kind edge: name (producer),
-    consumer; kind error: error. Null texts give nothing. Texts of more than MOST_TEXT characters are errors.
+    consumer; kind error: error. Null texts give nothing. Texts of more than MOST_TEXT characters are errors. What
+    ``call_rows`` gives, in Arrow batches.
     """
-    kept = [c for c in rows.columns if c not in ("kind", "call", "name", "consumer", "arguments", "depth", "error")]
-    named = rows.select(*kept, F.col(text).cast("string").alias("_call_text")) if text not in kept else rows.select(*kept).withColumn("_call_text", F.col(text).cast("string"))
-    return named.lateralJoin(call_rows(F.col("_call_text").outer())).drop("_call_text")
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in SCHEMA.split(", ")]
+    kept = [c for c in rows.columns if c not in names]
+    packed = rows.select(F.struct(*kept).alias("row"), F.col(text).cast("string").alias("doc")).where("doc IS NOT NULL")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for k, t in enumerate(batch.column("doc").to_pylist()):
+                for row in parsed(t):
+                    at.append(k)
+                    found.append(row)
+            cols = zip(*found, strict=True) if found else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["row", *names])
+
+    return packed.mapInArrow(read, f"row {packed.schema['row'].dataType.simpleString()}, {SCHEMA}").select("row.*", *names)
 
 
 def canonical_calls(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:

@@ -40,6 +40,10 @@ def test_table_function(spark):
     canonical = sorted((r["id"], r["call_idx"], r["name"], r["valid"]) for r in C.canonical_calls(data, ["id"], "nth", "text").collect())
     assert canonical == [(1, 0, "f", True), (1, 1, "g", True), (1, 2, "h", True), (2, 0, None, False)]
     assert C.with_calls(data.where("false"), "text").count() == 0
+    spark.udtf.register("call_rows", C.call_rows)
+    data.createOrReplaceTempView("call_texts")
+    lateral = spark.sql("SELECT t.id, c.kind, c.name, c.consumer FROM call_texts t, LATERAL call_rows(t.text) c").collect()
+    assert sorted(map(tuple, lateral), key=repr) == sorted(((r["id"], r["kind"], r["name"], r["consumer"]) for r in got.collect()), key=repr)
 
 
 def test_profile(spark):
