@@ -90,25 +90,27 @@ def _lengths(rows: DataFrame, keys: list[str], item: str, length: str) -> DataFr
     return rows.select(*keys, item, F.col(length).cast("long").alias("_n"))
 
 
-def balanced(rows: DataFrame, keys: list[str], item: str, length: str, parts: int, equal: bool = False) -> DataFrame:
-    """keys, item, part: differencing (largest two sets merged against each other) into parts of like totals."""
+def differenced(items: list[tuple], parts: int, equal: bool = False) -> list[list]:
+    """Items of (length, item), ascending, in parts of like totals: the two most uneven partial solutions are merged against each other."""
+    if equal and len(items) % parts:
+        raise ValueError(f"{len(items)} items can't be dealt evenly to {parts} parts")
+    starts = [items[k : k + parts] for k in range(0, len(items), parts)] if equal else [[x] for x in items]
+    heap = []
+    for n, start in enumerate(starts):
+        sets = sorted([(x[0], [x[1]]) for x in start] + [(0, [])] * (parts - len(start)), key=lambda s: -s[0])
+        heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
+    n = len(starts)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        sets = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda s: -s[0])
+        heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
+        n += 1
+    return [held for _, held in heap[0][2]]
 
-    def split(key: tuple, items: list[tuple]) -> list[tuple]:
-        if equal and len(items) % parts:
-            raise ValueError(f"{len(items)} items can't be dealt evenly to {parts} parts")
-        starts = [items[k : k + parts] for k in range(0, len(items), parts)] if equal else [[x] for x in items]
-        heap = []
-        for n, start in enumerate(starts):
-            sets = sorted([(x[0], [x[1]]) for x in start] + [(0, [])] * (parts - len(start)), key=lambda s: -s[0])
-            heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
-        n = len(starts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-            sets = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda s: -s[0])
-            heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
-            n += 1
-        return [(*key, i, p) for p, (_, held) in enumerate(heap[0][2]) for i in held]
 
+def balanced(rows: DataFrame, keys: list[str], item: str, length: str, parts: int, equal: bool = False) -> DataFrame:
+    """keys, item, part: differencing (largest two sets merged against each other) into parts of like totals."""
+    split = lambda key, items: [(*key, i, p) for p, held in enumerate(differenced(items, parts, equal)) for i in held]
     return map_groups(_lengths(rows, keys, item, length), keys, ["_n", item], split, f"{_schema(rows, keys, item)}, part int")
 
 

@@ -332,18 +332,22 @@ def minibatch_numbers(spark, sf):
     return select.minibatches(rollouts(spark, sf), ["rollout"], 64, "category").select("rollout", "batch")
 
 
-@query()
+@query("""SELECT l_suppkey AS batch, count(*) AS items, sum(l_quantity)::BIGINT AS total, 0::BIGINT AS overfull, true AS few FROM lineitem GROUP BY 1""")
 def packed_bins(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("batch"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("item"), "l_quantity")
-    return select.packed(rows, ["batch"], "item", "l_quantity", 64).groupBy("batch").agg(F.countDistinct("bin").alias("bins"), F.max("load").alias("fullest"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("batch"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("item"), "l_quantity")
+    bins = select.packed(rows, ["batch"], "item", "l_quantity", 64).groupBy("batch", "bin").agg(F.count("*").alias("n"), F.max("load").alias("load"))
+    # two bins of best fit always exceed the cap together, so there are at most twice as many as needed
+    found = bins.groupBy("batch").agg(F.sum("n").alias("items"), F.sum("load").alias("total"), F.count_if(F.col("load") > 64).alias("overfull"), F.count("*").alias("_bins"))
+    return found.withColumn("few", F.col("_bins") <= 2 * F.ceil(F.col("total") / 64)).drop("_bins")
 
 
-@query()
+@query("""SELECT l_suppkey AS batch, least(8, count(*))::BIGINT AS parts, count(*) AS items, sum(l_quantity)::BIGINT AS total, true AS alike FROM lineitem GROUP BY 1""")
 def balanced_parts(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("batch"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("item"), F.col("l_quantity").cast("long").alias("n"))
-    parts = select.balanced(rows, ["batch"], "item", "n", 8)
-    loads = parts.groupBy("batch", "part").agg(F.count("*").alias("items"))
-    return loads.groupBy("batch").agg(F.count("*").alias("parts"), F.sum("items").alias("items"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("batch"), F.monotonically_increasing_id().alias("item"), F.col("l_quantity").cast("long").alias("n"))
+    parts = select.balanced(rows.select("batch", F.struct("item", "n").alias("item"), "n"), ["batch"], "item", "n", 8)
+    loads = parts.groupBy("batch", "part").agg(F.count("*").alias("items"), F.sum("item.n").alias("load"))
+    found = loads.groupBy("batch").agg(F.count("*").alias("parts"), F.sum("items").alias("items"), F.sum("load").alias("total"), F.max("load").alias("_hi"), F.min("load").alias("_lo"))
+    return found.withColumn("alike", F.col("_hi") - F.col("_lo") <= 50).drop("_hi", "_lo")  # the longest item
 
 
 # --- sets and gates -----------------------------------------------------------------------------------------
