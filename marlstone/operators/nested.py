@@ -18,6 +18,12 @@ NODE = {"nth": "int", "path": "string", "parent": "int", "name": "string", "at":
 NODE_TYPES = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32())]
 
 
+def parsed_json(text: Column) -> Column:
+    """JSON text as a VARIANT; null for what isn't one value and nothing behind it (the parser itself stops after the first)."""
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
+    return F.when(F.size(held) == 1, held[0])
+
+
 def nesting(text: Column) -> Column:
     """How deep JSON text is nested: 0 for a scalar."""
     bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
@@ -33,7 +39,7 @@ def scalar_paths(rows: DataFrame, column: str, root: str = "value", depth: int |
     """
     kept = [c for c in rows.columns if c not in (column, "path", "kind", "scalar")]
     depth = rows.agg(F.max(nesting(F.col(column)))).first()[0] or 0 if depth is None else depth
-    out = rows.select(*kept, F.lit(root).alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
+    out = rows.select(*kept, F.lit(root).alias("path"), parsed_json(F.col(column)).alias("v")).where("v IS NOT NULL")
     for _ in range(depth):
         inner = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
         out = out.withColumn("inside", inner).withColumn("open", F.when(F.col("inside"), F.col("v")))
