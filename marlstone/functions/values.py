@@ -110,11 +110,10 @@ _NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven tw
 
 def number_mentioned(number: Column, text: Column) -> Column:
     """A whole number in a text: in digits (thousands marked or not, ordinal or not) or, up to twelve, in words."""
-    plain = number.cast("long").cast("string")
-    marked = F.format_number(number.cast("long"), 0)
+    shown = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?<![0-9.,])([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:st|nd|rd|th)?(?![0-9]|[.,][0-9])"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
     word = F.when((number >= 0) & (number < len(_NUMBER_WORDS)), F.get(F.array(*[F.lit(w) for w in _NUMBER_WORDS]), number.cast("int")))
-    digits = F.regexp_like(text, F.concat(F.lit(r"(?i)(?<![0-9.,])(?:"), plain, F.lit("|"), marked, F.lit(r")(?:st|nd|rd|th)?(?![0-9]|[.,][0-9])")))
-    return digits | F.coalesce(F.regexp_like(text, F.concat(F.lit(r"(?i)\b"), word, F.lit(r"\b"))), F.lit(False))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0))
+    return F.array_contains(shown, number.cast("long").cast("string")) | F.coalesce(F.array_contains(words, word), F.lit(False))
 
 
 def singular(token: Column) -> Column:

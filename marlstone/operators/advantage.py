@@ -86,11 +86,12 @@ def gae(rows: DataFrame, keys: list[str], order: list[str], reward: str, value:
 
 
 def whitened(rows: DataFrame, value: str, mask: str | None = None, eps: float = 1e-8, out: str = "whitened") -> DataFrame:
-    """Mean 0 and variance 1 over the masked rows (Bessel's correction); one row of statistics is joined back."""
+    """Mean 0 and variance 1 over the masked rows (Bessel's correction); one row of statistics is joined back. A mask of fewer than two rows raises."""
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
     stats = rows.agg(F.sum(m).alias("_n"), (F.sum(F.col(value) * m) / (F.sum(m) + eps)).alias("_mean"))
     spread = rows.join(F.broadcast(stats)).agg(F.sum((F.col(value) - F.col("_mean")) ** 2 * m).alias("_ss"), F.first("_n").alias("_n"), F.first("_mean").alias("_mean"))
-    variance = F.col("_ss") / (F.col("_n") + eps) * F.col("_n") / (F.col("_n") - 1)
+    few = F.raise_error(F.lit("a variance needs two rows in the mask at least")).cast("double")
+    variance = F.when(F.coalesce(F.col("_n"), F.lit(0.0)) > 1, F.col("_ss") / (F.col("_n") + eps) * F.col("_n") / (F.col("_n") - 1)).otherwise(few)
     return rows.join(F.broadcast(spread)).withColumn(out, (F.col(value) - F.col("_mean")) / F.sqrt(variance + eps)).drop("_ss", "_n", "_mean")
 
 

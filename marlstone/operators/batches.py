@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import held
+
 
 def popped(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(the columns, what is left); a column that isn't there raises."""
@@ -150,11 +152,24 @@ def records(raw: DataFrame, gold: DataFrame, extra: DataFrame, key: str) -> Data
     return raw.join(gold, key).join(extra, key, "left")
 
 
+#: Characters of a phrase by which it is looked up.
+GRAM = 8
+
+
 def identified(rows: DataFrame, catalog: DataFrame, row: str, text: str, entry: str, phrase: str) -> DataFrame:
-    """row, entry of the texts that contain exactly one phrase of the catalog; the catalog is checked to be small enough to broadcast."""
-    if catalog.count() > 100_000:
-        raise ValueError("a catalog of more than 100,000 phrases; join on words instead")
-    found = rows.join(F.broadcast(catalog), F.contains(F.col(text), F.col(phrase)))
+    """row, entry of the texts that contain exactly one entry's phrase, at any size of the catalog.
+
+    A phrase is looked up by its first characters (GRAM at most) among the texts' pieces of that length, then held
+    against the whole text. Empty phrases and null ones are in no text.
+    """
+    listed = catalog.where(F.length(phrase) > 0).select(entry, phrase, F.substring(phrase, 1, GRAM).alias("_gram"))
+    lengths = sorted(r[0] for r in listed.select(F.length("_gram")).distinct().collect())  # GRAM numbers at most
+    if not lengths:
+        return rows.join(listed, F.lit(False)).select(row, entry)
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(F.col(text), k, F.lit(n)))
+    grams = F.concat(*[F.when(F.length(text) >= n, pieces(n)).otherwise(F.array().cast("array<string>")) for n in lengths])
+    asked = rows.select(row, text, F.explode(F.array_distinct(grams)).alias("_gram"))
+    found = asked.join(listed, "_gram").where(F.contains(F.col(text), F.col(phrase)))
     return found.groupBy(row).agg(F.min(entry).alias(entry), F.countDistinct(entry).alias("_n")).where("_n = 1").select(row, entry)
 
 
@@ -287,19 +302,23 @@ def sampler(rows: DataFrame, key: str, seed: int | None = None) -> DataFrame:
     return rows.orderBy(key) if seed is None else shuffled(rows, key, seed)
 
 
-def longest_paths(edges: DataFrame, group: str, producer: str, consumer: str, most: int = 64) -> DataFrame:
-    """group, depth: calls on the longest dependency path; null where the dependencies have a cycle or exceed ``most``.
+def longest_paths(edges: DataFrame, group: str, producer: str, consumer: str) -> DataFrame:
+    """group, depth: calls on the longest dependency path, of any length; null where the dependencies have a cycle.
 
-    One join a level: a path grows by an edge until none can.
+    One join a level: edges from calls that nothing leads to are taken away until a group has none; a group that
+    loses none while it still has some has a cycle.
     """
-    step = edges.select(group, F.col(producer).alias("_from"), F.col(consumer).alias("_to")).distinct()
-    reach, level = step.select(group, F.col("_to").alias("_at")).distinct(), 2
-    found = step.select(group).distinct().withColumn("depth", F.lit(2))
-    while level <= most:
-        reach = reach.join(step, (reach[group] == step[group]) & (reach["_at"] == step["_from"])).select(reach[group], F.col("_to").alias("_at")).distinct().checkpoint()
-        if reach.isEmpty():
-            break
+    left = held(edges.select(group, F.col(producer).alias("_from"), F.col(consumer).alias("_to")).distinct())
+    ended, level = None, 1
+    while True:
         level += 1
-        found = found.unionByName(reach.select(group).distinct().withColumn("depth", F.lit(level)))
-    deepest = found.groupBy(group).agg(F.max("depth").alias("depth"))
-    return deepest.withColumn("depth", F.when(F.col("depth") < most, F.col("depth")))
+        tos = left.select(group, F.col("_to").alias("_from")).distinct()
+        kept = held(left.join(tos, [group, "_from"], "left_semi"))
+        sizes = left.groupBy(group).agg(F.count("*").alias("_before")).join(kept.groupBy(group).agg(F.count("*").alias("_after")), group, "left")
+        done = sizes.where("_after IS NULL").select(group, F.lit(level).alias("depth"))
+        stuck = sizes.where("_after = _before").select(group, F.lit(None).cast("int").alias("depth"))
+        now = held(done.unionByName(stuck))
+        ended = now if ended is None else ended.unionByName(now)
+        left = kept.join(now, group, "left_anti")
+        if left.isEmpty():
+            return ended

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .advantage import leave_one_out, reward_to_go, whitened
+from .rows import numbered
 
 
 def multi_source(rows: DataFrame, group: list[str], sequence: list[str], order: list[str], sources: dict[str, float], mask: str | None = None) -> DataFrame:
@@ -31,10 +32,24 @@ def contiguous_turns(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
 
 
 def before_answer(rows: DataFrame, keys: list[str], index: str, answer: Column) -> DataFrame:
-    """The rows of groups in which an answer, if there is one, is the only one and last."""
+    """The rows before the answer, of groups in which an answer, if there is one, is the only one and last."""
+    return _answered(rows, keys, index, answer).where("_placed AND NOT _is_answer").drop(*ANSWERED)
+
+
+def misplaced_answers(rows: DataFrame, keys: list[str], index: str, answer: Column) -> DataFrame:
+    """groups, dropped: how many groups there are, and how many have several answers or rows behind one."""
+    per = _answered(rows, keys, index, answer).groupBy(*keys).agg(F.min("_placed").alias("_placed"))
+    return per.agg(F.count("*").alias("groups"), F.count_if(~F.col("_placed")).alias("dropped"))
+
+
+ANSWERED = ["_is_answer", "_answers", "_at", "_last", "_placed"]
+
+
+def _answered(rows: DataFrame, keys: list[str], index: str, answer: Column) -> DataFrame:
     w = Window.partitionBy(*keys)
-    parts = {"_answers": F.count_if(answer).over(w), "_at": F.max(F.when(answer, F.col(index))).over(w), "_last": F.max(index).over(w)}
-    return rows.withColumns(parts).where("_answers = 0 OR (_answers = 1 AND _at = _last)").drop(*parts)
+    out = rows.withColumn("_is_answer", F.coalesce(answer, F.lit(False)))
+    out = out.withColumns({"_answers": F.count_if("_is_answer").over(w), "_at": F.max(F.when(F.col("_is_answer"), F.col(index))).over(w), "_last": F.max(index).over(w)})
+    return out.withColumn("_placed", (F.col("_answers") == 0) | ((F.col("_answers") == 1) & (F.col("_at") == F.col("_last"))))
 
 
 def follows(rows: DataFrame, keys: list[str], order: list[str], condition: Column, out: str = "follows") -> DataFrame:
@@ -58,7 +73,8 @@ def banded_groups(rows: DataFrame, group: str, score: str, truncated: Column, lo
     """group, passed: 1 / oversample of the groups, those with a mean score in the band and nothing truncated first."""
     found = rows.groupBy(group).agg((F.avg(score).between(low, high) & ~F.max(truncated)).alias("passed"))
     keep = int(found.count() / oversample)
-    return found.orderBy(F.desc("passed"), group).limit(keep)
+    placed = numbered(found.withColumn("_after", ~F.col("passed")), ["_after", group], "_nth")  # what is kept grows with the data, so no task gathers it
+    return placed.where(F.col("_nth") < keep).drop("_after", "_nth")
 
 
 def scaled_by_largest(rows: DataFrame, keys: list[str], order: list[str], reward: str, out: str = "scaled") -> DataFrame:
@@ -76,7 +92,8 @@ def by_lot(seed: int, *keys: str) -> Column:
 def drawn_from_band(rows: DataFrame, value: Column, low: float, high: float, share: float, key: str, seed: int) -> DataFrame:
     """max(1, share of all rows) rows drawn by lot among those with a value strictly between the bounds."""
     keep = max(1, int(rows.count() * share))
-    return rows.where((value > low) & (value < high)).orderBy(by_lot(seed, key), key).limit(keep)
+    placed = numbered(rows.where((value > low) & (value < high)).withColumn("_lot", by_lot(seed, key)), ["_lot", key], "_nth")
+    return placed.where(F.col("_nth") < keep).drop("_lot", "_nth")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:

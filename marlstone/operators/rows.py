@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def held(rows: DataFrame) -> DataFrame:
-    """Rows written to the checkpoint folder, whose partitions stay as they are; a folder of its own where none is set."""
+    """Rows written to the checkpoint folder, whose partitions stay as they are; one of its own where none is set and all runs in one process."""
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marlstone-"))
     return rows.checkpoint()
 
 

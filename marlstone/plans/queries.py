@@ -166,10 +166,26 @@ def masked_moments(spark, sf):
     return table(spark, sf, "lineitem").agg(r6(stats.masked_mean(c, F.col("l_tax") > 0)).alias("masked"), r6(stats.rms_or_zero(c)).alias("rms"), r6(stats.soft_mean(c, 5.0)).alias("soft"))
 
 
-@query()
+PER_SQL = "SELECT c_custkey AS uid, c_mktsegment AS segment, score FROM (SELECT o_custkey, avg(o_totalprice) AS score FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey"
+
+
+@query(f"""SELECT segment, round(avg(score), 4) AS mean, true AS around, true AS wide FROM ({PER_SQL}) GROUP BY 1""")
 def bootstrap_by_category(spark, sf):
-    found = stats.bootstrap_interval(_per_customer(spark, sf), ["segment"], "score", "uid", draws=200)
-    return found.select("segment", *[F.round(c, 4).alias(c) for c in ("mean", "lower", "upper")])
+    rows = _per_customer(spark, sf)
+    found = stats.bootstrap_interval(rows, ["segment"], "score", "uid")
+    # the interval is as wide as the mean's standard error says, within a quarter
+    error = rows.groupBy("segment").agg((2 * 1.96 * F.stddev_samp("score") / F.sqrt(F.count("*"))).alias("_wide"))
+    ratio = (F.col("upper") - F.col("lower")) / F.col("_wide")
+    return found.join(error, "segment").select("segment", F.round("mean", 4).alias("mean"), F.col("mean").between(F.col("lower"), F.col("upper")).alias("around"), ratio.between(0.75, 1.25).alias("wide"))
+
+
+@query("""WITH v AS (SELECT o_custkey AS uid, list(o_totalprice ORDER BY o_orderkey) AS v FROM orders GROUP BY 1), d AS (SELECT uid, v, d FROM v, range(40) t(d)),
+p AS (SELECT uid, d, list_transform(range(4), lambda j: v[1 + (CAST('0x' || substr(md5('42:' || uid || ':' || d || ':' || j), 1, 8) AS BIGINT) % len(v))]) AS p FROM d)
+SELECT uid, round(avg(list_max(p)), 6) AS best, round(stddev_pop(list_max(p)), 3) AS best_std, round(avg(list_max(p) - list_min(p)), 6) AS spread, round(stddev_pop(list_max(p) - list_min(p)), 3) AS spread_std FROM p GROUP BY 1""")
+def bootstrapped_reducers(spark, sf):
+    reducers = {"best": F.array_max, "spread": lambda x: F.array_max(x) - F.array_min(x)}
+    found = stats.bootstrapped(rollouts(spark, sf), ["uid"], "score", "rollout", 4, reducers, draws=40)
+    return found.select("uid", *[F.round(c, 3 if c.endswith("std") else 6).alias(c) for c in ("best", "best_std", "spread", "spread_std")])
 
 
 def _per_customer(spark, sf):
@@ -178,10 +194,11 @@ def _per_customer(spark, sf):
     return per.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("segment")), "uid")
 
 
-@query()
+@query(f"""WITH r AS (SELECT segment, score, row_number() OVER w AS i, count(*) OVER (PARTITION BY segment) AS c FROM ({PER_SQL}) WINDOW w AS (PARTITION BY segment ORDER BY score))
+SELECT segment, CAST(n AS INTEGER) AS n, round(sum(score * (pow(i / c, n) - pow((i - 1) / c, n))), 2) AS best, round(sum(score * (pow((c - i + 1) / c, n) - pow((c - i) / c, n))), 2) AS worst FROM r, (VALUES (2), (4), (8)) t(n) GROUP BY 1, 2""")
 def best_of_n_by_segment(spark, sf):
-    found = stats.best_of_n(_per_customer(spark, sf), ["segment"], "score", [2, 4, 8], draws=200)
-    return found.select("segment", "n", F.round("best", 4).alias("best"), F.round("worst", 4).alias("worst"))
+    found = stats.best_of_n(_per_customer(spark, sf), ["segment"], "score", [2, 4, 8])
+    return found.select("segment", "n", F.round("best", 2).alias("best"), F.round("worst", 2).alias("worst"))
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN value END), 6) AS high_mean, count(DISTINCT user_id) AS users, round(avg(CAST(value > 50 AS DOUBLE)), 6) AS high_rate FROM events GROUP BY event_type""")

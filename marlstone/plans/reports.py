@@ -186,11 +186,16 @@ def contiguous_turn_rows(spark, sf):
     return C.contiguous_turns(rows, ["l_orderkey"], "j").select("l_orderkey", "l_linenumber")
 
 
-@query(f"""WITH {CODES_SQL}, g AS (SELECT user_id, day, count(*) FILTER (code = 1) AS a, max(CASE WHEN code = 1 THEN event_id END) AS found, max(event_id) AS z FROM coded GROUP BY 1, 2) SELECT user_id, event_id FROM coded JOIN g USING (user_id, day) WHERE a = 0 OR (a = 1 AND found = z)""")
+@query(f"""WITH {CODES_SQL}, g AS (SELECT user_id, day, count(*) FILTER (code = 1) AS a, max(CASE WHEN code = 1 THEN event_id END) AS found, max(event_id) AS z FROM coded GROUP BY 1, 2) SELECT user_id, event_id FROM coded JOIN g USING (user_id, day) WHERE (a = 0 OR (a = 1 AND found = z)) AND code IS DISTINCT FROM 1""")
 def rows_before_answers(spark, sf):
     return C.before_answer(coded_events(spark, sf), ["user_id", "day"], "event_id", F.col("code") == 1).select("user_id", "event_id")
 
 
+@query(f"""WITH {CODES_SQL}, g AS (SELECT user_id, day, count(*) FILTER (code = 1) AS a, max(CASE WHEN code = 1 THEN event_id END) AS found, max(event_id) AS z FROM coded GROUP BY 1, 2) SELECT count(*) AS groups, count(*) FILTER (NOT (a = 0 OR (a = 1 AND found = z))) AS dropped FROM g""")
+def misplaced_answers(spark, sf):
+    return C.misplaced_answers(coded_events(spark, sf), ["user_id", "day"], "event_id", F.col("code") == 1)
+
+
 @query(f"""WITH {CODES_SQL} SELECT user_id, event_id, coalesce(lag(code = -1) OVER (PARTITION BY user_id ORDER BY event_id), false) AS follows FROM coded""")
 def follows_missing_turn(spark, sf):
     return C.follows(coded_events(spark, sf), ["user_id"], ["event_id"], F.col("code") == -1).select("user_id", "event_id", "follows")

@@ -24,9 +24,10 @@ def last_per_key(spark: SparkSession, path: str, schema: str, key: str, version:
 
 
 def metric_log(spark: SparkSession, path: str) -> DataFrame:
-    """step, metric, value of log lines ``step:N - k:v - k:v``; terminal colours are stripped and repeats of a step keep the longest line."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\u001b\\[[0-9;]*m", "").alias("line"))
-    steps = lines.select(F.regexp_extract("line", r"\bstep:([0-9]+)", 1).alias("step"), "line").where("step != ''").groupBy(F.col("step").cast("int").alias("step")).agg(F.max_by("line", F.struct(F.length("line"), F.col("line"))).alias("line"))
+    """step, metric, value of log lines ``step:N - k:v - k:v``; terminal colours are stripped and a step's last line counts (files in the order of their names)."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\u001b\\[[0-9;]*m", "").alias("line"), at.alias("at"))
+    steps = lines.select(F.regexp_extract("line", r"\bstep:([0-9]+)", 1).alias("step"), "line", "at").where("step != ''").groupBy(F.col("step").cast("int").alias("step")).agg(F.max_by("line", "at").alias("line"))
     pairs = F.regexp_extract_all("line", F.lit(r"([A-Za-z_][\w/@.()-]*):(-?[0-9][0-9.eE+-]*)"), F.lit(0))
     long = steps.select("step", F.explode(pairs).alias("pair")).select("step", F.substring_index("pair", ":", 1).alias("metric"), F.substring_index("pair", ":", -1).try_cast("double").alias("value"))
     return long.where("metric != 'step' AND value IS NOT NULL")
@@ -36,7 +37,7 @@ def telemetry(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """ts and numeric fields of comma-separated samples; rows of another width or without a time are dropped."""
     parts = F.split("value", r"\s*,\s*")
     rows = spark.read.text(path).select(parts.alias("p")).where(F.size("p") == len(fields) + 1)
-    return rows.select(F.try_to_timestamp(F.element_at("p", 1)).alias("ts"), *[F.regexp_extract(F.element_at("p", k + 2), r"-?[0-9.]+", 0).try_cast("double").alias(f) for k, f in enumerate(fields)]).where("ts IS NOT NULL")
+    return rows.select(F.try_to_timestamp(F.element_at("p", 1)).alias("ts"), *[F.regexp_extract(F.element_at("p", k + 2), r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?", 0).try_cast("double").alias(f) for k, f in enumerate(fields)]).where("ts IS NOT NULL")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -67,6 +67,19 @@ def journal(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def journaled(held: DataFrame, new: DataFrame, key: str, content: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(fresh, conflicts) of a micro-batch against the journal: one row for each key that isn't held, and the rows of keys whose content differs.
+
+    Content is compared with what is held, else with the smallest content of the batch; an equal record is no news.
+    """
+    held = held.select(F.col(key).alias("_k"), F.struct(*content).alias("_held"))
+    rows = new.withColumn("_own", F.struct(*content))
+    firsts = rows.groupBy(F.col(key).alias("_f")).agg(F.min("_own").alias("_first"))
+    told = rows.join(held, F.col(key).eqNullSafe(F.col("_k")), "left").join(firsts, F.col(key).eqNullSafe(F.col("_f")))
+    fresh = told.where("_k IS NULL AND _own <=> _first").dropDuplicates([key]).select(new.columns)
+    return fresh, told.where(~F.col("_own").eqNullSafe(F.coalesce("_held", "_first"))).select(new.columns)
+
+
 def windowed(stream: DataFrame, time: str, width: str, late: str, by: list[str], **measures) -> DataFrame:
     """Measures over tumbling windows of event time, final once the watermark has passed."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(*[m.alias(n) for n, m in measures.items()])
@@ -80,7 +93,8 @@ def admitted(pool: DataFrame, ready: DataFrame, epoch: int, share: float, cap: i
     size = pool.agg(F.count("*").alias("_size"))
     free = F.least(F.floor(F.col("_size") * share), F.lit(cap) - F.col("_size"))
     waiting = ready.where(F.col("epoch") < epoch).join(pool.select("candidate_id"), "candidate_id", "left_anti").dropDuplicates(["candidate_id"])
-    return waiting.withColumn("_n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(size)).where(F.col("_n") <= free).drop("_n", "_size")
+    first = waiting.orderBy(*order).limit(cap)  # more are never admitted
+    return first.withColumn("_n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(size)).where(F.col("_n") <= free).drop("_n", "_size")
 
 
 def retirement(mean: str, n: str, age: str, trial: int, stale: int):
