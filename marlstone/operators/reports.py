@@ -30,6 +30,12 @@ def mean_of_means(rows: DataFrame, source: str, prompt: str, score: str) -> Data
     return rows.groupBy(source, prompt).agg(F.avg(score).alias("_m")).groupBy(source).agg(F.avg("_m").alias("score"), F.count("*").alias("prompts"))
 
 
+def subset_sizes(n: Column) -> Column:
+    """2, 4, 8, ... below n, and n."""
+    powers = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n.cast("double"))), F.lit(1)).cast("int")), lambda j: F.pow(F.lit(2.0), j).cast("long")), lambda k: k < n)
+    return F.array_append(powers, n.cast("long"))
+
+
 def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
     """source, metric, value: mean@n, population std@n and, for k = 2, 4, ... and n, best@k and worst@k with their spread.
 
@@ -40,8 +46,7 @@ def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str) ->
     of_prompt = Window.partitionBy(source, prompt)
     rank, n = F.row_number().over(of_prompt.orderBy(value)).cast("double"), F.count("*").over(of_prompt).cast("double")
     ranked = rows.select(source, prompt, F.col(value).alias("_v"), rank.alias("_i"), n.alias("_n"))
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda j: F.pow(F.lit(2.0), j)), lambda k: k < F.col("_n"))
-    each = ranked.where("_n > 1").withColumn("_k", F.explode(F.array_append(powers, F.col("_n"))))
+    each = ranked.where("_n > 1").withColumn("_k", F.explode(F.transform(subset_sizes(F.col("_n")), lambda k: k.cast("double"))))
     i, n, k, v = F.col("_i"), F.col("_n"), F.col("_k"), F.col("_v")
     most = F.pow(i / n, k) - F.pow((i - 1) / n, k)
     least = F.pow((n - i + 1) / n, k) - F.pow((n - i) / n, k)

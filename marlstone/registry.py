@@ -1,9 +1,9 @@
 """The library's queries and their SQL; the training-data operators have a registry of their own."""
 
-from .plans import batches, metrics, more, nested, reports, calls, symbolic, microbatches, datasets, texts
+from .plans import batches, metrics, more, nested, reports, calls, symbolic, microbatches, datasets, validation, texts
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "advantage_group_normalised"
-MODULES = [more, reports, batches, texts, metrics, nested, calls, symbolic, microbatches, datasets]
+MODULES = [more, reports, batches, texts, metrics, nested, calls, symbolic, microbatches, datasets, validation]
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
