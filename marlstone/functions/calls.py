@@ -160,3 +160,25 @@ def structural_profile(turns: DataFrame, calls: DataFrame, catalog: DataFrame, s
     return per.join(rest, seed, "left").select(
         seed, F.size("_t").alias("turns"), F.col("_t.n").alias("calls_per_turn"), F.col("_t.c").alias("classes_per_turn"), F.coalesce("edges", F.array().cast(rest.schema["edges"].dataType)).alias("edges"), F.coalesce("_depth", F.lit(0)).alias("depth"), F.coalesce("_bad", F.lit(0)).alias("unreadable")
     )
+
+
+def _keyword_call(text: str) -> tuple[str, str] | None:
+    try:
+        node = ast.parse(text, mode="eval").body
+        if not isinstance(node, ast.Call) or not isinstance(node.func, ast.Name) or node.args or any(k.arg is None for k in node.keywords):
+            return None
+        return node.func.id, json.dumps({k.arg: ast.literal_eval(k.value) for k in node.keywords}, ensure_ascii=False, default=repr)
+    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
+        return None
+
+
+def first_keyword_calls(rows: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
+    """keys, name, arguments (JSON), source: the first text that is a call of a plain name with literal keywords alone; keys without one don't occur."""
+
+    @F.arrow_udf("struct<name: string, arguments: string>")
+    def read(texts: pa.Array) -> pa.Array:
+        found = [None if t is None or len(t) > MOST_TEXT else _keyword_call(t) for t in texts.to_pylist()]
+        return pa.array([x and {"name": x[0], "arguments": x[1]} for x in found], pa.struct([("name", pa.string()), ("arguments", pa.string())]))
+
+    told = rows.select(*keys, F.struct(*order).alias("_at"), F.col(text).alias("_source"), read(F.col(text)).alias("_c")).where("_c.name IS NOT NULL")
+    return told.groupBy(*keys).agg(F.min_by(F.struct("_c", "_source"), "_at").alias("_b")).select(*keys, "_b._c.name", "_b._c.arguments", F.col("_b._source").alias("source"))

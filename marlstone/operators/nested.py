@@ -6,6 +6,7 @@ matters. What follows is relational: a value's nodes are rows, and coverage, tie
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import json
 from collections.abc import Iterator
@@ -251,3 +252,87 @@ def recoverability(withheld: DataFrame, visible: DataFrame, keys: list[str], gen
     exposed = (F.trim(plain(F.col("target"))) != "") & plain(F.col("query")).contains(plain(F.col("target")))
     out = withheld.join(seen, [*keys, "parameter"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>"))).withColumn("ambiguity", F.size("candidates"))
     return out.select(*keys, "parameter", "candidates", "ambiguity", F.when(F.coalesce(exposed, F.lit(False)), "still_exposed").when(F.col("ambiguity") == 1, "recoverable").otherwise("missing").alias("decision"))
+
+
+def _decoded(value, depth: int, passes: int, room: list[int]):
+    """A value in which strings that are containers stand as containers; ``room`` holds how many items may still be opened."""
+    if depth > DECODE_DEPTH:
+        return value
+    if isinstance(value, str):
+        text = value.strip()
+        if passes >= DECODE_PASSES or not 2 <= len(text) <= DECODE_CHARS or text[0] + text[-1] not in ("{}", "[]", "()"):
+            return value
+        try:
+            found = json.loads(text)
+        except (ValueError, RecursionError):
+            try:
+                found = ast.literal_eval(text)
+            except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+                return value
+        return _decoded(found, depth + 1, passes + 1, room) if isinstance(found, dict | list | tuple) else value
+    if isinstance(value, dict | list | tuple):
+        room[0] -= len(value)
+        if room[0] < 0:
+            return value
+        if isinstance(value, dict):
+            return {str(k): _decoded(x, depth + 1, passes, room) for k, x in value.items()}
+        return [_decoded(x, depth + 1, passes, room) for x in value]
+    return value
+
+
+def decoded(text: Column) -> Column:
+    """A tool's result as JSON text: a text that is a JSON or Python literal container is read (no evaluation), inside too.
+
+    Other text becomes a JSON string. Bounds: DECODE_DEPTH levels, DECODE_CHARS characters a string, DECODE_PASSES
+    strings inside each other, DECODE_ITEMS items in all; what lies beyond stays as it is. Null stays null.
+    """
+
+    @F.arrow_udf("string")
+    def read(texts: pa.Array) -> pa.Array:
+        told = lambda t: json.dumps(_decoded(t, 0, 0, [DECODE_ITEMS]), ensure_ascii=False, separators=(",", ":"), default=repr)
+        return pa.array([None if t is None else told(t) for t in texts.to_pylist()], pa.string())
+
+    return read(text)
+
+
+# How far texts of results are decoded.
+DECODE_DEPTH, DECODE_CHARS, DECODE_PASSES, DECODE_ITEMS = 16, 1_048_576, 3, 10_000
+
+
+def _merged(base: dict, patch: dict, path: str) -> dict:
+    out = dict(base)
+    for key, new in patch.items():
+        old, at = out.get(key), f"{path}.{key}"
+        if key in out and isinstance(old, dict) != isinstance(new, dict):
+            raise ValueError(f"an object and another value at {at}")
+        if isinstance(old, dict):
+            out[key] = _merged(old, new, at)
+            continue
+        kinds = {"number" if isinstance(x, int | float) and not isinstance(x, bool) else type(x).__name__ for x in (old, new) if x is not None}
+        if len(kinds) > 1:
+            raise ValueError(f"another type at {at}")
+        out[key] = new
+    return out
+
+
+def merged(base: Column, patch: Column) -> Column:
+    """value (JSON text) and error of two JSON objects merged key by key, the patch's leaves last.
+
+    A leaf may replace null, be null, or have the type of the one before (numbers are one type); an object stands
+    only for an object. What breaks this has no value but an error that names the place. Null without a patch or base.
+    """
+
+    @F.arrow_udf("struct<value: string, error: string>")
+    def merge(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            try:
+                x, y = (None if t is None else json.loads(t) for t in (x, y))
+                if not isinstance(x, dict | None) or not isinstance(y, dict | None):
+                    raise ValueError("no object")
+                out.append({"value": None if x is None or y is None else json.dumps(_merged(x, y, "$"), ensure_ascii=False, separators=(",", ":")), "error": None})
+            except (ValueError, RecursionError) as e:
+                out.append({"value": None, "error": str(e)[:200]})
+        return pa.array(out, pa.struct([("value", pa.string()), ("error", pa.string())]))
+
+    return merge(base, patch)
