@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +105,63 @@ def passages_text(docs: Column) -> Column:
 def role_mask(messages: Column, lengths: Column, trained: str = "assistant") -> Column:
     """The loss mask of a conversation: each message's role repeated over its tokens, 1 for the trained one."""
     return F.flatten(F.zip_with(messages, lengths, lambda m, n: F.array_repeat((m == trained).cast("int"), n)))
+
+
+def action_metrics(text: Column, tools: Column) -> Column:
+    """Flags of a message against the tools on offer (an array of structs of name and required, an array of names).
+
+    valid_tool_call_block; json_parse_ok (its body is JSON); and, where there is a call, whether all calls have
+    function_name_ok (a tool's name), arguments_object_ok (an object) and required_arguments_ok (all that the tool
+    asks for; nothing of an unknown one); direct_answer_without_tool; malformed_output.
+    """
+
+    def flags(a: Column) -> Column:
+        called, answered = a["error"].isNull() & (a["attempted"] == "tool_call"), a["error"].isNull() & (a["attempted"] == "answer")
+        body = F.when(called, F.try_parse_json(F.concat(F.lit("["), a["body"], F.lit("]"))).cast("array<variant>")[0])
+        listed = F.when(F.schema_of_variant(body).startswith("ARRAY"), body.cast("array<variant>")).when(body.isNotNull(), F.array(body))
+        objects = F.filter(listed, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+        arguments = lambda v: F.try_variant_get(v, "$.arguments", "variant")
+        known = F.coalesce(F.transform(objects, lambda v: F.struct(F.try_variant_get(v, "$.name", "string").alias("name"), F.coalesce(F.schema_of_variant(arguments(v)).startswith("OBJECT"), F.lit(False)).alias("given"), F.json_object_keys(F.to_json(arguments(v))).alias("keys"))), F.array().cast("array<struct<name:string,given:boolean,keys:array<string>>>"))
+
+        def of_calls(calls: Column) -> Column:
+            some = F.size(calls) > 0
+            required = lambda c: F.flatten(F.transform(F.filter(tools, lambda t: t["name"] == c["name"]), lambda t: F.coalesce(t["required"], F.array().cast("array<string>"))))
+            all_of = lambda test: (some & F.coalesce(F.forall(calls, test), F.lit(False))).cast("int")
+            return F.struct(
+                called.cast("int").alias("valid_tool_call_block"), F.coalesce(called & body.isNotNull(), F.lit(False)).cast("int").alias("json_parse_ok"), all_of(lambda c: F.coalesce(F.exists(tools, lambda t: t["name"] == c["name"]), F.lit(False))).alias("function_name_ok"),
+                all_of(lambda c: c["given"]).alias("arguments_object_ok"), all_of(lambda c: F.size(F.array_except(required(c), F.coalesce(c["keys"], F.array().cast("array<string>")))) == 0).alias("required_arguments_ok"),
+                answered.cast("int").alias("direct_answer_without_tool"), (~called & ~answered).cast("int").alias("malformed_output"),
+            )
+
+        return F.transform(F.array(known), of_calls)[0]
+
+    return F.transform(F.array(action(text)), flags)[0]
+
+
+#: Fixed value: what follows the tools in a message that restores them.
+RESTORED = "I have updated some more functions"
+
+
+def restored_tools(text: Column) -> Column:
+    """tools (JSON text of the array that a message begins with) and error; null for messages without the notice RESTORED.
+
+    The notice must follow the array; each of its items must be an object with a name.
+    """
+
+    @F.arrow_udf("struct<tools: string, error: string>")
+    def read(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            if t is None or RESTORED not in t:
+                out.append(None)
+                continue
+            try:
+                tools, end = json.JSONDecoder().raw_decode(t.lstrip())
+                named = isinstance(tools, list) and tools and all(isinstance(x, dict) and isinstance(x.get("name"), str) for x in tools)
+                error = None if named and RESTORED in t.lstrip()[end:] else "no named tools" if not named else "no notice behind the tools"
+                out.append({"tools": None if error else json.dumps(tools, ensure_ascii=False, separators=(",", ":")), "error": error})
+            except (ValueError, RecursionError) as e:
+                out.append({"tools": None, "error": str(e)[:200]})
+        return pa.array(out, pa.struct([("tools", pa.string()), ("error", pa.string())]))
+
+    return read(text)

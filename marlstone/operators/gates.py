@@ -88,3 +88,16 @@ def terminal_contract(status: Column, candidate: Column, reason: Column) -> dict
         "candidate": (status == "SUCCEEDED") == candidate.isNotNull(),
         "reason": (status == "DROPPED") == reason.isNotNull(),
     }
+
+
+def kept_in_order(part: Column, whole: Column) -> Column:
+    """Whether the texts of ``part`` that aren't blank occur in ``whole`` in order: each is looked for behind the one found before, a missing one fails but moves nothing."""
+    step = lambda a, x: F.struct(F.coalesce(F.array_position(F.slice(whole, a["at"] + 1, F.greatest(F.size(whole) - a["at"], F.lit(0))), x), F.lit(0)).cast("int").alias("hit"), a["at"].alias("at"), a["ok"].alias("ok"))
+    after = lambda s: F.struct((s["at"] + s["hit"]).alias("at"), (s["ok"] & (s["hit"] > 0)).alias("ok"))
+    asked = F.filter(part, lambda x: F.trim(x) != "")
+    return F.aggregate(asked, F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")), lambda a, x: F.transform(F.array(step(a, x)), after)[0])["ok"]
+
+
+def preservation_audit(rows: DataFrame, category: str, part: str, whole: str) -> DataFrame:
+    """category, records, exact (equal lists), kept (all that isn't blank kept in order)."""
+    return rows.groupBy(category).agg(F.count("*").alias("records"), F.count_if(F.col(part) == F.col(whole)).alias("exact"), F.count_if(kept_in_order(F.col(part), F.col(whole))).alias("kept"))

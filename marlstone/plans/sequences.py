@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calls as C
+from ..functions import protocol as P
+from ..operators import gates as G
 from ..operators import nested as N
 from ..operators import sequences as S
 from .queries import query
@@ -47,3 +49,31 @@ def first_gold_calls(spark, sf):
     text = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("buy(part="), part, F.lit(", note='x')"))).when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("find("), part, F.lit(")"))).otherwise(F.concat(F.lit("shop.buy(part="), part, F.lit(")")))
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", text.alias("text"))
     return C.first_keyword_calls(rows, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber"], "text").drop("source")
+
+
+@query("""WITH m AS (SELECT o_orderkey, o_orderkey % 5 AS w, o_orderkey % 3 AS t FROM orders) SELECT o_orderkey, (w < 3)::INT AS valid_tool_call_block, (w < 3)::INT AS json_parse_ok, (w < 3 AND t < 2)::INT AS function_name_ok, (w < 2)::INT AS arguments_object_ok,
+(w < 3 AND (t > 0 OR w = 0))::INT AS required_arguments_ok, (w = 3)::INT AS direct_answer_without_tool, (w = 4)::INT AS malformed_output FROM m""")
+def action_metrics(spark, sf):
+    way, key = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    name = F.element_at(F.array(F.lit("find"), F.lit("list"), F.lit("guess")), (F.col("o_orderkey") % 3).cast("int") + 1)
+    given = F.when(way == 0, F.concat(F.lit('{"id": '), key, F.lit("}"))).when(way == 1, F.lit('{"other": 1}')).otherwise(F.lit("[1]"))
+    call = F.concat(F.lit('<think>so</think><tool_call>[{"name": "'), name, F.lit('", "arguments": '), given, F.lit("}]</tool_call>"))
+    text = F.when(way < 3, call).when(way == 3, F.concat(F.lit("<think>so</think><answer>"), key, F.lit("</answer>"))).otherwise(F.concat(call, F.lit(" more")))
+    tools = F.array(F.struct(F.lit("find").alias("name"), F.array(F.lit("id")).alias("required")), F.struct(F.lit("list").alias("name"), F.array().cast("array<string>").alias("required")))
+    return table(spark, sf, "orders").select("o_orderkey", P.action_metrics(text, tools).alias("m")).select("o_orderkey", "m.*")
+
+
+@query("""SELECT conv_id, CASE WHEN turn % 2 = 0 THEN '[{"name":"f' || turn || '","n":' || turn || '}]' END AS tools, turn FROM conversations WHERE turn % 2 = 0 OR turn % 5 = 1""")
+def restored_tools(spark, sf):
+    turn = F.col("turn").cast("string")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('[{"name": "f'), turn, F.lit('", "n": '), turn, F.lit("}] "), F.lit(P.RESTORED), F.lit(". "), F.col("text"))).when(F.col("turn") % 5 == 1, F.concat(F.col("text"), F.lit(P.RESTORED))).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", P.restored_tools(text).alias("r")).where("r IS NOT NULL").select("conv_id", "turn", "r.tools")
+
+
+@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn, text) AS whole, list(text ORDER BY turn, text) FILTER (turn > 0) AS part FROM conversations GROUP BY 1)
+SELECT conv_id % 3 AS category, count(*) AS records, 0::BIGINT AS exact, count(*) FILTER (conv_id % 2 = 0 OR len(part) = 1) AS kept FROM c WHERE part IS NOT NULL GROUP BY 1""")
+def preserved_turns(spark, sf):
+    said = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(said.alias("s"))
+    rows = rows.select((F.col("conv_id") % 3).alias("category"), "conv_id", F.col("s.text").alias("whole"), F.transform(F.filter("s", lambda x: x["turn"] > 0), lambda x: x["text"]).alias("part")).where(F.size("part") > 0)
+    return G.preservation_audit(rows.withColumn("part", F.when(F.col("conv_id") % 2 == 0, F.col("part")).otherwise(F.reverse("part"))), "category", "part", "whole")
