@@ -3,7 +3,7 @@
 An archive holds one stored member ``archive/data.warc.gz`` (a gzip member for each record) and one stored
 ``indexes/index.cdxj`` (offset and length of each record). The reader needs only ``fetch(offset, length)``:
 it reads the end of the file, the central directory (with ZIP64 where sizes call for it), the index, and then
-each record's own range. Without an index it walks the stored member record by record.
+each record's own range. Members without an index are walked record by record.
 """
 
 from __future__ import annotations
@@ -80,9 +80,9 @@ def directory(fetch: Fetch, total: int) -> list[Member]:
 
 
 def data_start(fetch: Fetch, member: Member) -> int:
-    """Where a stored member's bytes begin; its local header has lengths of its own."""
-    if member.method != 0:
-        raise ValueError(f"{member.name} is not stored")
+    """Where a member's bytes begin; its local header has lengths of its own."""
+    if member.method not in (0, 8):
+        raise ValueError(f"{member.name} is neither stored nor deflated")
     local = bytes(fetch(member.header, 30))
     if local[:4] != b"PK\x03\x04":
         raise ValueError(f"no local header for {member.name}")
@@ -105,27 +105,98 @@ def parse_record(data: bytes) -> dict:
     return {"headers": headers, "http": _headers(http)[1], "payload": payload}
 
 
-def records(fetch: Fetch, total: int) -> Iterator[dict]:
-    """All records of an archive, each by a range read of its own."""
-    members = {m.name: m for m in directory(fetch, total)}
-    indexes = [m for n, m in members.items() if n.startswith("indexes/") and m.method == 0]
-    starts = {n: data_start(fetch, m) for n, m in members.items() if n.startswith("archive/") and m.method == 0}
-    if indexes:
-        for index in indexes:
-            for line in bytes(fetch(data_start(fetch, index), index.size)).decode().splitlines():
-                entry = json.loads(line[line.index("{") :])
-                data = bytes(fetch(starts["archive/" + entry["filename"]] + int(entry["offset"]), int(entry["length"])))
-                yield parse_record(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
+def _bytes(fetch: Fetch, member: Member) -> Iterator[bytes]:
+    """A member's content in pieces; deflated ones are inflated on the way."""
+    start, at = data_start(fetch, member), 0
+    inflate = zlib.decompressobj(-15) if member.method == 8 else None
+    while at < member.size:
+        part = bytes(fetch(start + at, min(65_536, member.size - at)))
+        if not part:
+            raise ValueError(f"{member.name} is cut off")
+        at += len(part)
+        yield inflate.decompress(part) if inflate else part
+
+
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What gzip members one after the other hold; anything else as it is."""
+    part = next((p for p in pieces if p), b"")
+    if part[:2] != b"\x1f\x8b":
+        yield part
+        yield from pieces
         return
-    for name, start in starts.items():
-        at, end = 0, members[name].size
-        while at < end:  # without an index: the gzip members one after the other
-            inflate, out = zlib.decompressobj(31), []
-            while not inflate.eof and at < end:
-                part = bytes(fetch(start + at, min(65_536, end - at)))
-                out.append(inflate.decompress(part))
-                at += len(part) - len(inflate.unused_data)
-            yield parse_record(b"".join(out))
+    inflate = zlib.decompressobj(31)
+    while part:
+        yield inflate.decompress(part)
+        part = inflate.unused_data if inflate.eof else b""
+        if inflate.eof and part:
+            inflate = zlib.decompressobj(31)
+        if not part:
+            part = next((p for p in pieces if p), b"")
+            if part and inflate.eof:
+                inflate = zlib.decompressobj(31)
+    if not inflate.eof:
+        raise ValueError("a gzip member is cut off")
+
+
+def _walked(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records one after the other; one at a time is held."""
+    held = bytearray()
+    while True:
+        while held[:2] == b"\r\n":
+            del held[:2]
+        while (cut := held.find(b"\r\n\r\n")) < 0:
+            part = next(pieces, None)
+            if part is None:
+                if held.strip():
+                    raise ValueError("a record is cut off")
+                return
+            held += part
+            while held[:2] == b"\r\n":
+                del held[:2]
+        end = cut + 4 + int(_headers(bytes(held[:cut]))[1].get("content-length", "0"))
+        while len(held) < end:
+            part = next(pieces, None)
+            if part is None:
+                raise ValueError("a record is cut off")
+            held += part
+        yield parse_record(bytes(held[:end]))
+        del held[:end]
+
+
+def _entry(line: str) -> tuple[str, int, int] | None:
+    """File, offset and length of an index line; None for headers and anything else that isn't an entry."""
+    try:
+        entry = json.loads(line[line.index("{") :])
+        return entry["filename"], int(entry["offset"]), int(entry["length"])
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
+def records(fetch: Fetch, total: int) -> Iterator[dict]:
+    """All records of an archive.
+
+    A stored member below archive/ that an index below indexes/ (plain or gzip) names is read by it, each record by
+    a range of its own and once. Every other member there is walked: stored or deflated, of gzip members or plain.
+    Of members of one name an index means the last; the others are walked. Index lines that are no entries, and
+    those of files that aren't there, are passed over.
+    """
+    listed = directory(fetch, total)
+    data = [m for m in listed if m.name.startswith("archive/") and not m.name.endswith("/")]
+    named, starts, seen = {m.name: m for m in data}, {}, set()
+    for index in (m for m in listed if m.name.startswith("indexes/") and not m.name.endswith("/")):
+        for line in b"".join(_inflated(_bytes(fetch, index))).decode("utf-8", "replace").splitlines():
+            entry = _entry(line)
+            member = named.get("archive/" + entry[0]) if entry else None
+            if member is None or member.method != 0 or (member.header, entry[1]) in seen:
+                continue
+            seen.add((member.header, entry[1]))
+            if member.header not in starts:
+                starts[member.header] = data_start(fetch, member)
+            found = bytes(fetch(starts[member.header] + entry[1], entry[2]))
+            yield parse_record(zlib.decompress(found, 31) if found[:2] == b"\x1f\x8b" else found)
+    for member in data:
+        if member.header not in starts:
+            yield from _walked(_inflated(_bytes(fetch, member)))
 
 
 class Writer:
@@ -210,8 +281,17 @@ def _rows(path: str, fetch: Fetch, total: int, payloads: bool) -> Iterator[dict]
         } | ({"payload": payload if response else None} if payloads else {})
 
 
-def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """Records of archives given as ``path`` and ``content`` (written here, or of Spark's binaryFile source)."""
+#: What reading an archive that isn't one, or is cut off, may raise.
+BROKEN = (ValueError, KeyError, IndexError, struct.error, zlib.error, UnicodeDecodeError)
+
+
+def read_archives(archives: DataFrame, payloads: bool = False, tolerant: bool = False) -> DataFrame:
+    """Records of archives given as ``path`` and ``content`` (written here, or of Spark's binaryFile source).
+
+    Null and empty contents have no records. A corrupt archive raises; if ``tolerant``, it gives the records before
+    the fault and a row of its path whose record_type is corrupt. Repeated archives give their records again; an
+    empty table none; further columns are not read. An archive's records are held by one task.
+    """
     schema = _RECORD + (", payload binary" if payloads else "")
     kind = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in schema.split(", "))])
 
@@ -219,15 +299,21 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 view = memoryview(content.as_buffer()) if content.is_valid else memoryview(b"")
-                if len(view):
-                    found = list(_rows(path, lambda at, n, v=view: v[at : at + n], len(view), payloads))
-                    yield pa.RecordBatch.from_pylist(found, schema=kind)
+                found = []
+                try:
+                    for r in _rows(path, lambda at, n, v=view: v[at : at + n], len(view), payloads) if len(view) else ():
+                        found.append(r)
+                except BROKEN:
+                    if not tolerant:
+                        raise
+                    found.append({"path": path, "record_type": "corrupt"})
+                yield pa.RecordBatch.from_pylist(found, schema=kind)
 
     return archives.select("path", "content").mapInArrow(read, schema)
 
 
 def read_archive_files(paths: DataFrame, payloads: bool = False) -> DataFrame:
-    """Records of archive files that every executor can open by ``path`` (a mounted store); only ranges are read, so size is no limit."""
+    """Records of archive files that every executor can open by ``path`` (a mounted store); only ranges are read, so size is no limit. A corrupt file raises."""
     schema = _RECORD + (", payload binary" if payloads else "")
     kind = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in schema.split(", "))])
 

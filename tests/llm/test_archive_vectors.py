@@ -1,10 +1,13 @@
+import gzip
 import hashlib
 import io
 import math
 import struct
+import warnings
 import zipfile
 
 import numpy as np
+import pytest
 
 from marlstone.llm import archive, innerproduct
 
@@ -90,3 +93,50 @@ def test_topk_of_few_and_none(spark):
     got = innerproduct.top_k(df, lambda c: c % 20 == 0, 20).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 2.0), (2, 2, 1.0)]
     assert innerproduct.top_k(df.limit(0), lambda c: c % 20 == 0).count() == 0
+
+
+def packed(*members):
+    """A ZIP file of (name, content, method)."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z, warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # repeated names
+        for name, content, method in members:
+            z.writestr(zipfile.ZipInfo(name), content, method)
+    return out.getvalue()
+
+
+def record(n, payload=b"text"):
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (n, len(block)) + block + b"\r\n\r\n"
+
+
+def read(content):
+    view = memoryview(content)
+    return [int(r["headers"]["warc-record-id"][10:-1]) for r in archive.records(lambda at, n: view[at : at + n], len(view))]
+
+
+def test_members_and_indexes_of_all_kinds():
+    stored, deflated = zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED
+    one, two = gzip.compress(record(1)), gzip.compress(record(2, b"x" * 100_000))
+    line = lambda offset, length, name="data.warc.gz": f'com,a)/ 2024 {{"filename": "{name}", "offset": "{offset}", "length": {length}}}\n'.encode()
+    index = b" CDX N b a m\n!meta {bad\n" + line(0, len(one)) + line(len(one), len(two)) + line(0, len(one)) + b"no entry\n" + line(0, 5, "gone.warc.gz")
+    assert read(packed(("archive/data.warc.gz", one + two, stored), ("indexes/index.cdx.gz", gzip.compress(index), stored))) == [1, 2]
+    assert read(packed(("archive/data.warc.gz", one + two, stored), ("indexes/index.cdxj", index, deflated))) == [1, 2]
+    assert read(packed(("archive/data.warc.gz", one + two, deflated), ("indexes/index.cdxj", index, stored))) == [1, 2]  # walked: it has no ranges
+    assert read(packed(("archive/plain.warc", record(3) + record(4, b"y" * 70_000) + record(5), stored))) == [3, 4, 5]
+    assert read(packed(("archive/plain.warc", record(3) + record(4), deflated), ("archive/", b"", stored))) == [3, 4]
+    assert read(packed(("archive/whole.warc.gz", gzip.compress(record(6) + record(7)), stored))) == [6, 7]
+    assert sorted(read(packed(("archive/data.warc.gz", gzip.compress(record(8)), stored), ("archive/data.warc.gz", one, stored), ("indexes/i.cdxj", line(0, len(one)), stored)))) == [1, 8]
+    assert read(packed(("archive/empty.warc.gz", b"", stored), ("other/x", b"y", stored))) == [] and read(packed()) == []
+
+
+def test_corrupt_archives(spark):
+    good = packed(("archive/a.warc", record(1) + record(2), zipfile.ZIP_STORED))
+    cut = packed(("archive/a.warc", record(1) + record(2)[:-30], zipfile.ZIP_STORED))
+    rows = [("good", good), ("none", None), ("empty", b""), ("noise", b"x" * 500), ("cut", cut), ("end", good[:-5])]
+    table = spark.createDataFrame(rows, "path string, content binary")
+    got = sorted((r["path"], r["record_type"], r["page_id"] or 0) for r in archive.read_archives(table, tolerant=True).collect())
+    assert got == [("cut", "corrupt", 0), ("cut", "response", 1), ("end", "corrupt", 0), ("good", "response", 1), ("good", "response", 2), ("noise", "corrupt", 0)]
+    with pytest.raises(Exception, match="no end of central directory"):
+        archive.read_archives(table.where("path = 'noise'")).collect()
+    assert archive.read_archives(table.where("path IN ('none', 'empty')")).count() == 0
