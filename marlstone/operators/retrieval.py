@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -11,47 +12,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import unit
+from .rows import held
 
-#: Query vectors in one broadcast block; more are further passes over the stored vectors.
+#: Query vectors in one broadcast block; each block is a pass over the stored vectors.
 QUERY_BLOCK = 8192
 
 
-def nearest(stored: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10) -> DataFrame:
-    """query_id, id, similarity, rank: the k nearest other rows of each query; ties (to 9 digits) go to the smaller id.
+def _search(rows: DataFrame, shared, k: int) -> DataFrame:
+    """Of each task the k nearest of its rows for each query of the block."""
 
-    Zero vectors and vectors of another length than the query's block take no part. Each task keeps k rows a query,
-    so what is shuffled grows with queries and tasks and not with pairs.
-    """
-    spark = stored.sparkSession
-    rows = stored.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vector_col)).alias("v")).where("v IS NOT NULL")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vector_col)).alias("v")).where("v IS NOT NULL").toLocalIterator()
-    parts = []
-    while block := list(islice(asked, QUERY_BLOCK)):
-        shared = spark.sparkContext.broadcast((np.array([r.id for r in block]), np.array([r.v for r in block])))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_id, best = np.full((len(ids), 0), -1, dtype=np.int64), np.zeros((len(ids), 0))
-            for b in batches:
-                width = np.diff(np.asarray(b.column("v").offsets))
-                b = b.filter(pa.array(width == q.shape[1]))
-                if not b.num_rows:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {w: (np.full((len(ids), 0), -1, dtype=np.int64), np.zeros((len(ids), 0))) for w, (ids, _) in shared.value.items()}
+        for b in batches:
+            width = np.diff(np.asarray(b.column("v").offsets))
+            for w, (ids, q) in shared.value.items():
+                part = b.filter(pa.array(width == w))
+                if not part.num_rows:
                     continue
-                x, own = np.asarray(b.column("v").flatten()).reshape(-1, q.shape[1]), np.asarray(b.column("id"))
+                x, own = np.asarray(part.column("v").flatten()).reshape(-1, w), np.asarray(part.column("id"))
                 for s in range(0, len(x), 2048):
                     near = np.round(q @ x[s : s + 2048].T, 9)
                     near[ids[:, None] == own[None, s : s + 2048]] = -np.inf
-                    best, best_id = np.hstack([best, near]), np.hstack([best_id, np.broadcast_to(own[s : s + 2048], near.shape)])
-                    order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                    best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            ok = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(best_id[ok]), pa.array(best[ok])], names=["query_id", "id", "similarity"])
-
-        parts.append(rows.mapInArrow(search, "query_id long, id long, similarity double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+                    found_id, found = np.hstack([best[w][0], np.broadcast_to(own[s : s + 2048], near.shape)]), np.hstack([best[w][1], near])
+                    order = np.lexsort((found_id, -found), axis=1)[:, :k]
+                    best[w] = np.take_along_axis(found_id, order, 1), np.take_along_axis(found, order, 1)
+        for w, (ids, _) in shared.value.items():
+            ok = np.isfinite(best[w][1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(best[w][0][ok]), pa.array(best[w][1][ok])], names=["query_id", "id", "similarity"])
+
+    found = rows.mapInArrow(search, "query_id long, id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(stored: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10) -> DataFrame:
+    """query_id, id, similarity, rank: the k nearest other rows of each query; ties (to 9 digits) go to the smaller id.
+
+    Zero vectors take no part; vectors meet those of their own length. Each task keeps k rows a query, so what is
+    shuffled grows with queries and tasks and not with pairs. Queries go block by block: one block is on the driver
+    and broadcast at a time, its result is written, and its broadcast ends before the next one begins.
+    """
+    spark = stored.sparkSession
+    rows = stored.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vector_col)).alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vector_col)).alias("v")).where("v IS NOT NULL AND id IS NOT NULL").toLocalIterator()
+    parts: list[DataFrame] = []
+    while block := list(islice(asked, QUERY_BLOCK)):
+        by_width: dict[int, list] = {}
+        for r in block:
+            by_width.setdefault(len(r.v), []).append(r)
+        shared = spark.sparkContext.broadcast({w: (np.array([r.id for r in of_width]), np.array([r.v for r in of_width])) for w, of_width in by_width.items()})
+        found = _search(rows, shared, k)
+        if not parts and len(block) < QUERY_BLOCK:
+            return found  # the only block
+        parts.append(held(found))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
