@@ -118,6 +118,10 @@ def action_metrics(text: Column, tools: Column) -> Column:
     def flags(a: Column) -> Column:
         called, answered = a["error"].isNull() & (a["attempted"] == "tool_call"), a["error"].isNull() & (a["attempted"] == "answer")
         body = F.when(called, F.try_parse_json(F.concat(F.lit("["), a["body"], F.lit("]"))).cast("array<variant>")[0])
+        return F.transform(F.array(F.struct(called.alias("called"), answered.alias("answered"), body.alias("body"))), of_body)[0]
+
+    def of_body(m: Column) -> Column:
+        called, answered, body = m["called"], m["answered"], m["body"]
         listed = F.when(F.schema_of_variant(body).startswith("ARRAY"), body.cast("array<variant>")).when(body.isNotNull(), F.array(body))
         objects = F.filter(listed, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
         arguments = lambda v: F.try_variant_get(v, "$.arguments", "variant")

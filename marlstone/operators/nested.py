@@ -209,7 +209,7 @@ def superlatives(fields: DataFrame, asked: DataFrame, keys: list[str], required:
     not (not_extreme).
     """
     number = F.when(F.col("kind").isin("integer", "double"), F.col("text").cast("double"))
-    value = F.struct(F.when(number.isNotNull(), "number").otherwise("moment").alias("as"), F.coalesce(number, F.when(F.col("kind") == "string", _moment(F.col("text")))).alias("v"))
+    value = F.struct(F.when(number.isNotNull(), "number").otherwise("moment").alias("as"), F.coalesce(number, F.when((F.col("kind") == "string") & F.col("text").rlike(r"^\s*[0-9]"), _moment(F.col("text")))).alias("v"))
     items = fields.groupBy(*keys, "collection").agg(F.count_distinct("identity").alias("items"))
     per = fields.withColumn("x", value).groupBy(*keys, "collection", "field").agg(
         F.count_distinct("identity").alias("n"), F.count("*").alias("rows"), F.count("x.v").alias("known"), F.count_distinct("x.as").alias("kinds"), F.first("x.as").alias("as"), F.collect_list(F.struct("identity", F.col("x.v").alias("v"))).alias("values"),

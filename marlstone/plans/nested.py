@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import nested as N
+from ..operators.rows import held
 from .queries import query
 from .tables import STEPS_SQL, rollouts, table
 
@@ -52,7 +53,7 @@ def flattened_members(spark, sf):
 
 @query(f"""WITH {LINES_SQL}, k AS (SELECT rollout FROM steps GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(DISTINCT part)) SELECT rollout, 'value.lines' AS collection, part::VARCHAR AS identity, 'value.lines[' || depth || ']' AS item_path FROM steps JOIN k USING (rollout)""")
 def candidate_collections(spark, sf):
-    return N.collections(N.value_nodes(order_values(spark, sf), "doc"), ["rollout"], ["part", "id"]).select("rollout", "collection", "identity", "item_path")
+    return N.collections(held(N.value_nodes(order_values(spark, sf), "doc")), ["rollout"], ["part", "id"]).select("rollout", "collection", "identity", "item_path")
 
 
 @query(f"""WITH {LINES_SQL}, k AS (SELECT rollout, min(price) AS lo, max(price) AS hi, min_by(part, depth) AS chosen FROM steps GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(DISTINCT part)),
@@ -61,7 +62,7 @@ t AS (SELECT rollout, relation, extreme, chosen, list(part::VARCHAR ORDER BY par
 SELECT rollout, relation, CASE WHEN extreme IS NOT NULL THEN 'price' END AS field, extreme::DOUBLE AS extreme, CASE WHEN extreme IS NOT NULL THEN tied END AS tied,
   CASE WHEN extreme IS NULL THEN 'not_recoverable' WHEN NOT list_contains(tied, chosen::VARCHAR) THEN 'not_extreme' WHEN len(tied) > 1 THEN 'tie' ELSE 'resolved' END AS status FROM t""")
 def superlative_choices(spark, sf):
-    nodes = N.value_nodes(order_values(spark, sf), "doc")
+    nodes = held(N.value_nodes(order_values(spark, sf), "doc"))  # read five times
     fields = N.item_fields(nodes, N.collections(nodes, ["rollout"], ["part"]), ["rollout"])
     first = steps_with_parts(spark, sf).where("depth = 0").select("rollout", F.col("part").cast("string").alias("selected"))
     kinds = [("cheapest", "min", "the cheapest one by price"), ("dearest", "max", "the one of the dearest price"), ("vaguest", "max", "any of them")]
