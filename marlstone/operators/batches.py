@@ -160,7 +160,8 @@ def identified(rows: DataFrame, catalog: DataFrame, row: str, text: str, entry:
     """row, entry of the texts that contain exactly one entry's phrase, at any size of the catalog.
 
     A phrase is looked up by its first characters (GRAM at most) among the texts' pieces of that length, then held
-    against the whole text. Empty phrases and null ones are in no text.
+    against the whole text. Empty phrases and null ones are in no text. The pieces are many times their texts, so
+    they are never broadcast, whatever the texts' size is taken for.
     """
     listed = catalog.where(F.length(phrase) > 0).select(entry, phrase, F.substring(phrase, 1, GRAM).alias("_gram"))
     lengths = sorted(r[0] for r in listed.select(F.length("_gram")).distinct().collect())  # GRAM numbers at most
@@ -169,7 +170,7 @@ def identified(rows: DataFrame, catalog: DataFrame, row: str, text: str, entry:
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(F.col(text), k, F.lit(n)))
     grams = F.concat(*[F.when(F.length(text) >= n, pieces(n)).otherwise(F.array().cast("array<string>")) for n in lengths])
     asked = rows.select(row, text, F.explode(F.array_distinct(grams)).alias("_gram"))
-    found = asked.join(listed, "_gram").where(F.contains(F.col(text), F.col(phrase)))
+    found = asked.join(listed.hint("merge"), "_gram").where(F.contains(F.col(text), F.col(phrase)))
     return found.groupBy(row).agg(F.min(entry).alias(entry), F.countDistinct(entry).alias("_n")).where("_n = 1").select(row, entry)
 
 

@@ -25,6 +25,13 @@ def test_identified_finds_pieces_of_words(spark):
     assert batches.identified(rows, catalog.where("entry = 'n'"), "id", "text", "entry", "phrase").count() == 0
 
 
+def test_pieces_of_texts_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, "the quick brown fox")], "id int, text string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame([("q", "quick")], "entry string, phrase string").write.parquet(f"{tmp_path}/catalog")
+    found = batches.identified(spark.read.parquet(f"{tmp_path}/texts"), spark.read.parquet(f"{tmp_path}/catalog"), "id", "text", "entry", "phrase")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in found.collect()] == [(1, "q")]
+
+
 def test_longest_paths_of_any_length(spark):
     chain = [("long", k, k + 1) for k in range(80)] + [("loop", 0, 1), ("loop", 1, 2), ("loop", 2, 1), ("own", 5, 5), ("fork", 0, 1), ("fork", 0, 2), ("fork", 2, 3), ("fork", 0, 1)]
     edges = spark.createDataFrame(chain, "g string, a int, b int").coalesce(1)
