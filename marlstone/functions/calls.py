@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import operator
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,6 +104,56 @@ def parsed(text: str | None) -> Iterator[tuple]:
     yield from rows
 
 
+#: String literals, or whole numbers that stand alone as an argument or item; the rest of a text is its shape.
+PLACES = re.compile(r"""('[^']*'|"[^"]*")|([=(\[,:]\s*-?)([1-9][0-9]{0,14})(?=\s*(?:[,)\]}]|\Z))""")
+#: Numbers that stand for those of a shape: longer than any of them.
+STAND_INS, MOST_SHAPES = 730_000_000_000_000_000, 4096
+
+
+def _shape(bare: str) -> list[tuple] | None:
+    """(row, pieces of its arguments, places of the numbers between them) of the texts alike but for their numbers; None where a number has a say in more than its own place."""
+    put: list[int] = []
+
+    def stand_in(m: re.Match) -> str:
+        if m[3] is None:
+            return m[0]
+        put.append(STAND_INS + len(put))
+        return f"{m[2]}{put[-1]}"
+
+    text = PLACES.sub(stand_in, bare)
+    rows = list(parsed(text)) if len(text) <= MOST_TEXT else []
+    if not rows or any(str(n) in str(r[c]) for n in put for r in rows for c in (2, 3, 6)):
+        return None
+    if rows[0][0] != "error":
+        told = " ".join(r[4] for r in rows if r[4])
+        if any(told.count(str(n)) != 1 for n in put):
+            return None
+        for node in ast.walk(ast.parse(text, mode="eval")):  # numbers that are folded, or part of a key, are no places
+            inside = [node] if isinstance(node, ast.BinOp) else [k for k in node.keys if k is not None] if isinstance(node, ast.Dict) else []
+            if any(isinstance(x, ast.Constant) and type(x.value) is int and x.value in put for part in inside for x in ast.walk(part)):
+                return None
+    found = re.compile("|".join(map(str, put)) or r"(?!)")
+    return [(r, found.split(r[4] or ""), [int(n) - STAND_INS for n in found.findall(r[4] or "")]) for r in rows]
+
+
+def parsed_alike(text: str | None, shapes: dict) -> list[tuple]:
+    """The rows of ``parsed``; ``shapes`` remembers those of texts that differ in numbers alone, so each shape is parsed once."""
+    if text is None or len(text) > MOST_TEXT or any(x in text for x in ("\\", "#", "\0", "'''", '"""')):
+        return list(parsed(text))
+    bare = text.strip("[]'")
+    parts = PLACES.split(bare)
+    numbers = [x for x in parts[3::4] if x]
+    del parts[3::4]
+    key = tuple(parts)
+    if key not in shapes:
+        if len(shapes) >= MOST_SHAPES:
+            shapes.clear()
+        shapes[key] = _shape(bare)
+    if shapes[key] is None:
+        return list(parsed(text))
+    return [(*r[:4], pieces[0] + "".join(numbers[k] + x for k, x in zip(at, pieces[1:], strict=True)), *r[5:]) if at else r for r, pieces, at in shapes[key]]
+
+
 @F.udtf(returnType=SCHEMA)
 class call_rows:
     """The table function for SQL and lateral joins: rows of a call text, a text at a time."""
@@ -124,12 +175,13 @@ def with_calls(rows: DataFrame, text: str) -> DataFrame:
     packed = rows.select(F.struct(*kept).alias("row"), F.col(text).cast("string").alias("doc")).where("doc IS NOT NULL")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes: dict = {}
         for batch in batches:
             at, found = [], []
             for k, t in enumerate(batch.column("doc").to_pylist()):
-                for row in parsed(t):
-                    at.append(k)
-                    found.append(row)
+                told = parsed_alike(t, shapes)
+                at += [k] * len(told)
+                found += told
             cols = zip(*found, strict=True) if found else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["row", *names])
 

@@ -32,6 +32,25 @@ def test_several_calls_and_edges():
     assert rows("f(a=g(h(x=1)))")[0][5] == 3 and rows("f(1)(2)")[0][2] == "" and rows(None) == []
 
 
+def test_shapes_change_no_result(monkeypatch):
+    """Texts alike but for their numbers are parsed once, and numbers that have a say in more than their place each time."""
+    forms = [
+        "shop.buy(part={0}, note='x {0} y', back=-{1}, gift=True)", "send(what=find(part={0}, where=locate(supplier={1})), times={0}*{1})", "pack(items=[find(part={0}), 'box'], tag={{'k': None}})", "broken({0}", "[f(a={0}), g(b=[{1}, -{0}])]",
+        "f(a={{({0}): 1, ({1}): 2}}, b={{'x,{0},': 1, 'x,{1},': 2}})", "f(a=({0})%({1}), b=({0})+0, c=-({1}))", "f(a=h({0}, {1}), b=v[{0}], c={0}.5, d={0}e2, e=0{1})", "f(a={0}, a={1})", "'f(a={0})', 'g(a={1})'", "f(a='it\\'s,{0},', b={1})", "f(a={0}) # {1}", "f(a={{h({0}): 1, h({1}): 2}})", "f({0})({1})", "f(a=f'{{x:{0}}}', b={1})", "f(a='{0}', b=- {1}, c = {0} )", "f(a={0}\n,b={1})", "f(a=g(b=({0}).real), c=({1},))",
+    ]
+    for form in forms:
+        shapes = {}
+        for a, b in [(7, 9), (9, 7), (5, 5), (0, 12), (730000000000000000, 730000000000000001), (123456789012345, 1), (10**30, 3), (7, 9)]:
+            text = form.format(a, b)
+            assert C.parsed_alike(text, shapes) == rows(text), text
+    calls, whole = [], C.parsed
+    monkeypatch.setattr(C, "parsed", lambda t: calls.append(t) or whole(t))
+    shapes = {}
+    for k in range(1, 100):
+        C.parsed_alike(forms[0].format("4", k), shapes), C.parsed_alike(forms[3].format(k), shapes)
+    assert len(calls) == 2
+
+
 def test_table_function(spark):
     data = spark.createDataFrame([(1, 0, "f(a=1)", 9), (1, 1, "g(b=f(a=2)), h()", 9), (2, 0, "bad(", 9), (3, 0, None, 9)], "id int, nth int, text string, call int")
     got = C.with_calls(data, "text")
