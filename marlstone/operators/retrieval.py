@@ -16,13 +16,27 @@ from .rows import held
 
 #: Query vectors in one broadcast block; each block is a pass over the stored vectors.
 QUERY_BLOCK = 8192
+#: Queries and stored vectors whose products a task holds at once.
+TILE_QUERIES, TILE_STORED = 256, 1024
+
+
+def _keep(best: tuple[np.ndarray, np.ndarray], at: slice, ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray) -> None:
+    """Takes the tile's nearest into the best of the queries ``at``; rows that none of them would take are not sorted."""
+    near = np.round(q[at] @ x.T, 9)
+    near[ids[at, None] == own[None, :]] = -np.inf
+    rows = np.flatnonzero((near >= best[1][at][:, -1:]).any(1) & np.isfinite(near).any(1))
+    if not len(rows):
+        return
+    found_id, found = np.hstack([best[0][at][rows], np.broadcast_to(own, (len(rows), len(own)))]), np.hstack([best[1][at][rows], near[rows]])
+    order = np.lexsort((found_id, -found), axis=1)[:, : best[0].shape[1]]
+    best[0][at.start + rows], best[1][at.start + rows] = np.take_along_axis(found_id, order, 1), np.take_along_axis(found, order, 1)
 
 
 def _search(rows: DataFrame, shared, k: int) -> DataFrame:
     """Of each task the k nearest of its rows for each query of the block."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {w: (np.full((len(ids), 0), -1, dtype=np.int64), np.zeros((len(ids), 0))) for w, (ids, _) in shared.value.items()}
+        best = {w: (np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)) for w, (ids, _) in shared.value.items()}
         for b in batches:
             width = np.diff(np.asarray(b.column("v").offsets))
             for w, (ids, q) in shared.value.items():
@@ -30,12 +44,9 @@ def _search(rows: DataFrame, shared, k: int) -> DataFrame:
                 if not part.num_rows:
                     continue
                 x, own = np.asarray(part.column("v").flatten()).reshape(-1, w), np.asarray(part.column("id"))
-                for s in range(0, len(x), 2048):
-                    near = np.round(q @ x[s : s + 2048].T, 9)
-                    near[ids[:, None] == own[None, s : s + 2048]] = -np.inf
-                    found_id, found = np.hstack([best[w][0], np.broadcast_to(own[s : s + 2048], near.shape)]), np.hstack([best[w][1], near])
-                    order = np.lexsort((found_id, -found), axis=1)[:, :k]
-                    best[w] = np.take_along_axis(found_id, order, 1), np.take_along_axis(found, order, 1)
+                for a in range(0, len(ids), TILE_QUERIES):
+                    for s in range(0, len(x), TILE_STORED):
+                        _keep(best[w], slice(a, a + TILE_QUERIES), ids, q, own[s : s + TILE_STORED], x[s : s + TILE_STORED])
         for w, (ids, _) in shared.value.items():
             ok = np.isfinite(best[w][1])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(best[w][0][ok]), pa.array(best[w][1][ok])], names=["query_id", "id", "similarity"])

@@ -19,3 +19,30 @@ def test_blocks_and_lengths(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
     assert close(sorted(tuple(r) for r in retrieval.nearest(rows, queries, "id", "v", 4).collect()), sorted(want))
     assert retrieval.nearest(rows, queries.where("false"), "id", "v").count() == 0
+
+
+def test_a_task_holds_a_tile_of_products():
+    """Memory of a full block of queries follows the tile, not the batch."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Taken(Exception):
+        pass
+
+    class Rows:
+        def mapInArrow(self, function, schema):
+            self.function = function
+            raise Taken
+
+    n, rows = 4096, Rows()
+    x = np.random.default_rng(5).normal(size=(n, 8))
+    with np.testing.assert_raises(Taken):
+        retrieval._search(rows, SimpleNamespace(value={8: (np.arange(n), x)}), 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * 8, 8, dtype=np.int32)), pa.array(x.ravel()))], names=["id", "v"])
+    tracemalloc.start()
+    out = list(rows.function(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[0].num_rows == 10 * n and peak < 60e6
