@@ -97,6 +97,46 @@ def test_passages_cover_repeats_and_spare_others(docs):
     assert {d: c for d, c in got.items() if d in want} == want and got[20] == 20
 
 
+def test_passages_lose_no_pair(spark):
+    """Pairs at the threshold, a third of them around a line that all these have; signatures by chance lost one of the 600."""
+    rng = random.Random(29)
+    line, rows = words(rng, 12), []
+    for k in range(600):
+        w = words(rng, 50, 100_000).split()
+        if k % 3 == 0:
+            w[:12] = line.split()
+        y = w[:]
+        y[rng.randrange(13, 45)] = "changed"
+        rows += [(2 * k, words(rng, 8, 100_000) + " " + " ".join(w)), (2 * k + 1, " ".join(y) + " " + words(rng, 8, 100_000))]
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(frame(spark, rows)).collect()}
+    assert [d for d, c in got.items() if c != d - d % 2] == []
+
+
+def test_alike_passages_share_a_first_token():
+    """Also passages that repeat tokens, whatever the order: one has the token among those that count, and not both ask."""
+    rng = random.Random(31)
+    alone = 0
+    for trial in range(400):
+        w = words(rng, 50, (4, 12, 5000)[trial % 3]).split()
+        if trial % 2:
+            w[20:] = (w[20 - trial % 7 : 20] * 40)[:30] if trial % 7 else w[20:]
+        y = w[:]
+        y[rng.randrange(50)] = "changed"
+        if trial % 4 == 0:
+            y = y[trial % 6 :] + y[: trial % 6]
+        x, y = (passages.rolling(passages.Words().numbers([" ".join(t).encode()])[0], passages.SIZE) for t in (w, y))
+        if not 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)):
+            continue
+        alone += 1
+        order = passages.Order(passages.np.unique(x)[::5])
+        seen = []
+        for t in (x, y):
+            parts = list(passages.compact_windows(t, passages.np.full(len(t), len(t) - 1), order.of(t), 80))
+            seen.append({(s, a) for signature, _, _, _, asks in parts for s, a in zip(signature.tolist(), asks.tolist(), strict=True)})
+        assert any((s, False) in seen[1] or (not a and (s, True) in seen[1]) for s, a in seen[0])
+    assert alone > 50
+
+
 def test_passages_alike_at_any_start():
     rng = random.Random(17)
     numbers = lambda text: passages.rolling(passages.Words().numbers([text.encode()])[0], passages.SIZE)
