@@ -109,21 +109,31 @@ def common_classes(rows: DataFrame, key: str, classes: str) -> DataFrame:
     return all_of.select(key).join(found, key, "left").withColumn("common", F.coalesce("common", F.expr("cast(array() as array<string>)"))).withColumn("unique", F.size("common") == 1)
 
 
+#: Words of queries (each query's own) that are broadcast; more are joined by shuffles.
+ASKED = 200_000
+
+
 def lexical_search(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, doc, score, rank: BM25 over an inverted index of lower-case words.
 
-    Documents are reduced to (word, doc, times) before anything is joined, and only words of queries are kept.
+    A document is read once, into the number of its words (as the empty word) and the times of those that queries
+    have; nothing else is shuffled. Everything of a document lies in one partition when its words meet the queries,
+    which are few beside documents, so that scores are summed where they arise.
     """
-    tokens = lambda d, i: d.select(i, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
-    asked = tokens(queries, query).distinct()
-    terms = tokens(docs, doc).groupBy("word", doc).agg(F.count("*").alias("tf"))
-    length = terms.groupBy(doc).agg(F.sum("tf").alias("dl"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    asked = held(queries.select(query, F.explode(words).alias("word")).distinct())
+    few = F.broadcast if asked.count() <= ASKED else lambda rows: rows  # what is broadcast has a bound
+    counted = docs.select(doc, words.alias("_w")).select(doc, F.size("_w").cast("long").alias("_n"), F.explode(F.array_append("_w", F.lit(""))).alias("word"))
+    wanted = asked.select("word").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "word string"))
+    terms = held(counted.join(few(wanted), "word", "left_semi").groupBy("word", doc).agg(F.sum(F.when(F.col("word") == "", F.col("_n")).otherwise(1)).alias("tf")).where("tf > 0"))
+    length = terms.where("word = ''").select(doc, F.col("tf").alias("dl"))
     total = length.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    held = terms.join(asked.select("word").distinct(), "word", "left_semi")
-    df = held.groupBy("word").agg(F.count("*").alias("df"))
-    weighted = held.join(df, "word").join(length, doc).join(F.broadcast(total))
+    found = terms.where("word != ''")
+    df = found.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weighted.select("word", doc, (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))).alias("w"))
-    scored = asked.join(part, "word").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score"))
+    postings = asked.join(df, "word").join(F.broadcast(total)).select(query, "word", idf.alias("idf"), "mean")
+    own = found.repartition(doc).join(length.repartition(doc), doc)
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
+    scored = own.join(few(postings), "word").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy(query).orderBy(F.desc("score"), doc)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -46,3 +46,16 @@ def test_a_task_holds_a_tile_of_products():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out[0].num_rows == 10 * n and peak < 60e6
+
+
+def test_lexical_search_reads_documents_once(spark, monkeypatch):
+    from marlstone.operators import rows as R
+
+    docs = spark.createDataFrame([(1, "red Red fox"), (2, "a fox, a hen"), (3, ""), (4, None), (2, "hen"), (5, "blue")], "d int, text string")
+    queries = spark.createDataFrame([(7, "Fox red fox"), (8, "hen"), (9, None), (10, "none")], "q int, text string")
+    found = R.lexical_search(docs, queries, "d", "q", "text")
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert [(r[0], r[1], r[3]) for r in got] == [(7, 1, 1), (7, 2, 2), (8, 2, 1)]
+    monkeypatch.setattr(R, "ASKED", 0)
+    assert sorted(map(tuple, R.lexical_search(docs, queries, "d", "q", "text").collect())) == got
