@@ -13,6 +13,10 @@ from .tables import STEPS_SQL, rollouts, table
 LINES_SQL = STEPS_SQL.replace("l_discount AS reward", "l_partkey AS part, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, l_discount AS reward")
 
 
+#: Levels of what order_values makes, by its types: an object, in it an array, in it objects.
+LEVELS = 3
+
+
 def order_values(spark, sf):
     """rollout, doc: {"order_id", "placed": {"by", "status"}, "lines": [{"part_no", "price", "note"}]}; returned lines have a note that is an error."""
     lines = steps_with_parts(spark, sf).groupBy("rollout").agg(F.array_sort(F.collect_list(F.struct("depth", "part", "price", "note"))).alias("lines"))
@@ -32,7 +36,7 @@ def steps_with_parts(spark, sf):
 @query(f"""WITH {LINES_SQL} SELECT rollout, 'value.lines[' || depth || '].' || f AS path, v AS scalar FROM (SELECT rollout, depth, unnest(['part_no', 'price', 'note']) AS f, unnest([part::VARCHAR, price::VARCHAR, CASE WHEN flag = 'R' THEN 'Error: returned ' || part END]) AS v FROM steps) WHERE v IS NOT NULL
 UNION ALL SELECT o_orderkey, unnest(['value.order_id', 'value.placed.by', 'value.placed.status']), unnest([o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus]) FROM orders WHERE o_orderkey IN (SELECT rollout FROM steps)""")
 def nested_scalars(spark, sf):
-    return N.scalar_paths(order_values(spark, sf), "doc").select("rollout", "path", "scalar")
+    return N.scalar_paths(order_values(spark, sf), "doc", depth=LEVELS).select("rollout", "path", "scalar")
 
 
 @query(f"""WITH {LINES_SQL} SELECT rollout, 'value.lines[' || min(depth) || '].note' AS path, 'Error: returned ' || min_by(part, depth) AS error FROM steps WHERE flag = 'R' GROUP BY 1""")
