@@ -41,13 +41,14 @@ def nested_scalars(spark, sf):
 
 @query(f"""WITH {LINES_SQL} SELECT rollout, 'value.lines[' || min(depth) || '].note' AS path, 'Error: returned ' || min_by(part, depth) AS error FROM steps WHERE flag = 'R' GROUP BY 1""")
 def nested_errors(spark, sf):
-    return N.first_errors(N.value_nodes(order_values(spark, sf), "doc"), ["rollout"])
+    nodes = N.value_nodes(order_values(spark, sf), "doc", only=["nth", "path", "parent", "name", "kind", "text"], where=N.speaks)
+    return N.first_errors(nodes, ["rollout"])
 
 
 @query(f"""WITH {LINES_SQL} SELECT rollout, kind, CAST(sum(n) AS BIGINT) AS nodes, CAST(max(deep) AS INTEGER) AS deepest FROM (SELECT rollout, unnest(['integer', 'string', 'object']) AS kind, unnest([2, CAST(flag = 'R' AS INTEGER), 1]) AS n, 3 + unnest([0, 0, -1]) AS deep FROM steps
   UNION ALL SELECT o_orderkey, unnest(['integer', 'integer', 'string', 'object', 'object', 'array']), 1, unnest([1, 2, 2, 0, 1, 1]) FROM orders WHERE o_orderkey IN (SELECT rollout FROM steps)) WHERE n > 0 GROUP BY 1, 2""")
 def nested_nodes(spark, sf):
-    return N.value_nodes(order_values(spark, sf), "doc").groupBy("rollout", "kind").agg(F.count("*").alias("nodes"), F.max(F.size("ancestors")).alias("deepest"))
+    return N.value_nodes(order_values(spark, sf), "doc", only=["kind", "ancestors"]).groupBy("rollout", "kind").agg(F.count("*").alias("nodes"), F.max(F.size("ancestors")).alias("deepest"))
 
 
 @query("""SELECT o_orderkey AS rollout, unnest(['order_id', 'placed.by', 'placed.status']) AS label, unnest([o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus]) AS text FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
