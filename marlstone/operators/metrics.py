@@ -42,15 +42,14 @@ def local_credit_metrics(rollouts: DataFrame, steps: DataFrame, weight: float, l
     is null or 0 where no actor token can be assigned. An active step with a span adds ``weight`` times its local
     advantage to its tokens. Figures of nothing are 0; support by depth and coverage by type follow what occurs.
     """
-    credit = peer_credit(steps, ["uid", "turn", "depth"], "local_return", least, eps)
-    first = F.col("rollout") == F.min("rollout").over(Window.partitionBy("uid", "turn", "depth"))  # a rollout has one step there
+    # what belongs to a rollout is told while its steps lie together, so that they travel once, to their peers
+    own = rollouts.groupBy("rollout").agg(F.max(F.col("advantage").cast("double")).alias("_a"))
     opens = F.col("depth") == F.min("depth").over(Window.partitionBy("rollout", "turn"))
-    credit = credit.withColumns({"_first": first, "_opens": opens})
-    # the global advantage reaches the steps as a window over the rollout, from its own row in the united table
-    # counted, so that rows of the two tables can't be confused
-    whole = rollouts.select("rollout", F.lit(True).alias("_whole"), F.col("advantage").cast("double").alias("_own"), F.col("tokens").cast("double").alias("_tokens"), "gold_calls", F.col("reliable").alias("_reliable"))
+    known = steps.withColumn("_opens", opens).join(own, "rollout", "left")
+    first = F.col("rollout") == F.min("rollout").over(Window.partitionBy("uid", "turn", "depth"))  # a rollout has one step there
+    credit = peer_credit(known, ["uid", "turn", "depth"], "local_return", least, eps).withColumn("_first", first)
+    whole = rollouts.select(F.lit(True).alias("_whole"), F.col("advantage").cast("double").alias("_own"), F.col("tokens").cast("double").alias("_tokens"), "gold_calls", F.col("reliable").alias("_reliable"))
     both = whole.unionByName(credit.withColumn("_whole", F.lit(False)), allowMissingColumns=True)
-    both = both.withColumn("_a", F.max("_own").over(Window.partitionBy("rollout")))
     step, active = ~F.col("_whole"), ~F.col("_whole") & F.col("local_active")
     spanned = F.coalesce(F.col("span_tokens"), F.lit(0)) > 0
     local, tokens, a = F.col("local_advantage"), F.coalesce(F.col("span_tokens"), F.lit(0)).cast("double"), F.col("_a")

@@ -78,3 +78,12 @@ def test_boundary_states_and_figures(spark):
 def test_boundary_of_nothing(spark):
     got = {r["metric"]: r["value"] for r in M.boundary_metrics(states(spark, []), {"base": 1}).collect()}
     assert got["boundary_rate"] == 0 and got["seed_emitted_count"] == 0
+
+
+def test_steps_travel_once_to_their_peers(spark):
+    from marlstone.operators import metrics as M
+
+    rolls = spark.createDataFrame([(1, 0.5, 10, 1, True)], "rollout int, advantage double, tokens int, gold_calls int, reliable boolean")
+    steps = spark.createDataFrame([(9, 1, 0, 0, "a", "tool", 1, 1, 0.5, 0.5, 1.0, 1.0, 3, False)], "uid int, rollout int, turn int, depth int, data_type string, response_type string, calls long, matched long, similarity_sum double, similarity_max double, step_reward double, local_return double, span_tokens int, follows_missing boolean")
+    plan = M.local_credit_metrics(rolls, steps, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(uid" in plan and "hashpartitioning(rollout" not in plan[: plan.index("hashpartitioning(uid")]
