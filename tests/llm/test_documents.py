@@ -365,3 +365,23 @@ def test_held_out_labels_change_no_score(spark, tmp_path):
     pq.write_table(pq.read_table(f"{sf}/documents.parquet"), tmp_path / "documents.parquet")
     scores = lambda at: {r.doc_id: r.score for r in toxicity.query(spark, str(at)).collect()}
     assert scores(sf) == scores(tmp_path)
+
+
+def test_pairs_without_a_rich_passage_are_left_out_together():
+    """Of many pairs at once just those stay that the comparison of one pair would go on with, and every alike one."""
+    rng, span = passages.np.random.default_rng(7), passages.SPAN
+    parts, want, alike = [], [], []
+    for k in range(150):
+        x = rng.integers(0, int(rng.choice([30, 200, 10**6])), int(rng.integers(span, 3 * span))).astype(passages.np.uint64)
+        y = x[int(rng.integers(0, len(x) - span + 1)) :].copy()
+        other = rng.random(len(y)) < rng.choice([0, 0.05, 0.15, 0.5])
+        y[other] = rng.integers(0, 10**6, other.sum())
+        sides = [(t, passages.np.arange(len(t)) + 7 * (passages.np.arange(len(t)) > 2 * span)) for t in (x, y)]
+        real = [at[span - 1 :] - at[: len(at) - span + 1] == span - 1 for _, at in sides]
+        before = [passages._earlier(t) for t, _ in sides]
+        rich = [(100 * passages._distinct(b, passages.np.isin(t, u)) >= 80 * passages._distinct(b)) & r for b, t, u, r in zip(before, (x, y), (y, x), real, strict=True)]
+        parts.append([c for t, at in sides for c in (t, k << 32 | at)])
+        want.append(all(r.any() for r in rich))
+        alike.append(passages.alike(x, y, [], 80, *real) is not None)
+    got = passages.possible(*(passages.np.concatenate(c) for c in zip(*parts, strict=True)), len(parts), 80).tolist()
+    assert got == want and all(g for g, a in zip(got, alike, strict=True) if a) and 0 < sum(alike) < len(alike) and not all(got)
