@@ -36,30 +36,50 @@ def subset_sizes(n: Column) -> Column:
     return F.array_append(powers, n.cast("long"))
 
 
+def moments(values: Column) -> Column:
+    """(mean, spread) of an array's numbers, the spread of the population; nulls don't count, null where there are none."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sum", "mean", "squares")])
+
+    def added(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        more = F.struct((s["n"] + 1).alias("n"), (s["sum"] + x).alias("sum"), mean.alias("mean"), (s["squares"] + (x - s["mean"]) * (x - mean)).alias("squares"))
+        return F.when(x.isNull(), s).otherwise(more)
+
+    told = lambda s: F.struct(F.try_divide(s["sum"], s["n"]).alias("mean"), F.sqrt(F.try_divide(s["squares"], s["n"])).alias("spread"))
+    return F.aggregate(values, zero, added, told)
+
+
+def prompt_metrics(values: Column) -> Column:
+    """Array of (metric, value) of one prompt's values, a column of arrays of doubles in order, nulls first: what validation_metrics averages."""
+    n = F.size(values).cast("double")
+    named = lambda name, k, what, value: F.struct(F.concat(F.lit(name), k.cast("long").cast("string"), F.lit(what)).alias("metric"), value.alias("value"))
+
+    def drawn(k: Column) -> Column:
+        most = lambda i: F.pow((i + 1) / n, k) - F.pow(i / n, k)
+        least = lambda i: F.pow((n - i) / n, k) - F.pow((n - i - 1) / n, k)
+        terms = F.transform(values, lambda v, i: F.when(v.isNotNull(), F.struct((v * most(i)).alias("b"), (v * v * most(i)).alias("b2"), (v * least(i)).alias("w"), (v * v * least(i)).alias("w2"))))
+        none = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("b", "b2", "w", "w2")])
+        added = lambda s, t, c: F.when(t.isNull(), s[c]).otherwise(F.coalesce(s[c], F.lit(0.0)) + t[c]).alias(c)
+        return F.aggregate(terms, none, lambda s, t: F.struct(*[added(s, t, c) for c in ("b", "b2", "w", "w2")]), lambda s: F.struct(k.alias("k"), *[s[c].alias(c) for c in ("b", "b2", "w", "w2")]))
+
+    of = lambda m, s: F.when(s.isNotNull(), F.sqrt(F.greatest(s - m * m, F.lit(0.0))))
+    sums = F.transform(F.when(n > 1, subset_sizes(n)).otherwise(F.array().cast("array<bigint>")), lambda k: drawn(k.cast("double")))
+    listed = F.flatten(F.transform(sums, lambda s: F.array(
+        named("best@", s["k"], "/mean", s["b"]), named("best@", s["k"], "/std", of(s["b"], s["b2"])), named("worst@", s["k"], "/mean", s["w"]), named("worst@", s["k"], "/std", of(s["w"], s["w2"])))))
+    plain = F.flatten(F.transform(F.array(moments(values)), lambda m: F.array(named("mean@", n, "", m["mean"]), named("std@", n, "", m["spread"]))))
+    return F.concat(F.when(n > 1, plain).otherwise(F.slice(plain, 1, 1)), listed)
+
+
 def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
     """source, metric, value: mean@n, population std@n and, for k = 2, 4, ... and n, best@k and worst@k with their spread.
 
     Best and worst are the exact expectation and deviation over k draws with replacement, which resampling only
     estimates: the i-th smallest of n values is the largest of k draws with chance (i/n)^k - ((i-1)/n)^k. Prompts are
-    averaged within a source for each metric.
+    averaged within a source for each metric. A prompt's values are one array, so each row is shuffled once and what
+    a prompt comes to is held by no table of groups.
     """
-    of_prompt = Window.partitionBy(source, prompt)
-    rank, n = F.row_number().over(of_prompt.orderBy(value)).cast("double"), F.count("*").over(of_prompt).cast("double")
-    ranked = rows.select(source, prompt, F.col(value).alias("_v"), rank.alias("_i"), n.alias("_n"))
-    each = ranked.where("_n > 1").withColumn("_k", F.explode(F.transform(subset_sizes(F.col("_n")), lambda k: k.cast("double"))))
-    i, n, k, v = F.col("_i"), F.col("_n"), F.col("_k"), F.col("_v")
-    most = F.pow(i / n, k) - F.pow((i - 1) / n, k)
-    least = F.pow((n - i + 1) / n, k) - F.pow((n - i) / n, k)
-    drawn = each.groupBy(source, prompt, "_k").agg(F.sum(v * most).alias("b"), F.sum(v * v * most).alias("b2"), F.sum(v * least).alias("w"), F.sum(v * v * least).alias("w2"))
-    spread = lambda m, s: F.sqrt(F.greatest(s - m * m, F.lit(0.0)))
-    at = lambda name, what: F.concat(F.lit(name), F.col("_k").cast("long").cast("string"), F.lit(what))
-    listed = F.array(*[F.struct(a.alias("metric"), b.alias("value")) for a, b in (
-        (at("best@", "/mean"), F.col("b")), (at("best@", "/std"), spread(F.col("b"), F.col("b2"))), (at("worst@", "/mean"), F.col("w")), (at("worst@", "/std"), spread(F.col("w"), F.col("w2"))))])
-    of_draws = drawn.select(source, prompt, F.inline(listed))
-    plain = rows.groupBy(source, prompt).agg(F.count("*").alias("_k"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    listed = F.array(F.struct(at("mean@", "").alias("metric"), F.col("m").alias("value")), F.struct(F.when(F.col("_k") > 1, at("std@", "")).alias("metric"), F.col("s").alias("value")))
-    of_values = plain.select(source, prompt, F.inline(listed)).where("metric IS NOT NULL")
-    return of_values.unionByName(of_draws).groupBy(source, "metric").agg(F.avg("value").alias("value"))
+    held = rows.groupBy(source, prompt).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v")))).alias("_a"))
+    return held.select(source, F.col("_a.v").alias("_v")).select(source, F.inline(prompt_metrics(F.col("_v")))).groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 
 def aggregate_with_counters(rows: DataFrame, keys: list[str], means: list[str], code: str, codes: list) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import paired_difference
-from .reports import subset_sizes, validation_metrics
+from .reports import moments, prompt_metrics, subset_sizes
 from .stats import bootstrap_interval
 
 
@@ -16,31 +16,59 @@ def repeated_prompts(prompts: DataFrame, prompt: str, times: int) -> DataFrame:
     return rows.withColumn("sample_id", F.concat_ws("#", F.col(prompt).cast("string"), F.col("sample").cast("string")))
 
 
+def _answers(rows: DataFrame, source: str, prompt: str, variables: list[str], order: str | None, pred: str | None) -> DataFrame:
+    """source, prompt, _a: each prompt's answers, sorted: order, _pred, _v0, _v1, ... (the values of the variables)."""
+    first = [] if pred is None else [F.col(order).alias("_at"), F.col(pred).alias("_pred")]
+    each = F.struct(*first, *[F.col(v).cast("double").alias(f"_v{k}") for k, v in enumerate(variables)])
+    return rows.groupBy(source, prompt).agg(F.array_sort(F.collect_list(each)).alias("_a"))
+
+
+def _votes(source: str, prompt: str, variables: list[str], draws: int, seed: int) -> Column:
+    """Array of (variable, metric, value) of the votes over resamples of a prompt's answers, one resample after the other."""
+    n, a = F.size("_a"), F.col("_a")
+    lot = lambda k, d, j: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(source).cast("string"), F.col(prompt).cast("string"), k.cast("string"), d.cast("string"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+    def elected(p: Column) -> Column:
+        votes = F.transform(p, lambda x, j: F.struct(F.size(F.filter(p, lambda y: y["_pred"].eqNullSafe(x["_pred"]))).alias("c"), (-j).alias("at"), x.alias("x")))
+        return F.aggregate(votes, F.struct(F.lit(-1).alias("c"), F.lit(0).alias("at"), F.get(p, F.lit(0)).alias("x")), lambda s, v: F.when((v["c"] > s["c"]) | ((v["c"] == s["c"]) & (v["at"] > s["at"])), v).otherwise(s), lambda s: s["x"])
+
+    def resample(k: Column, d: Column) -> Column:
+        picked = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.get(a, (lot(k, d, j) % n).cast("int")))
+        return F.get(F.transform(F.array(picked), elected), F.lit(0))
+
+    told = lambda k: F.struct(k.alias("k"), F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: resample(k, d)).alias("x"))
+    named = lambda t, v, what, value: F.struct(F.lit(v).alias("variable"), F.concat(F.lit("maj@"), t["k"].cast("string"), F.lit(what)).alias("metric"), value.alias("value"))
+
+    def listed(t: Column) -> Column:
+        of = lambda v, k: F.transform(F.array(moments(t["x"][f"_v{k}"])), lambda m: F.array(named(t, v, "/mean", m["mean"]), named(t, v, "/std", m["spread"])))
+        return F.flatten(F.concat(*[of(v, k) for k, v in enumerate(variables)]))
+
+    return F.flatten(F.transform(F.transform(F.when(n > 1, subset_sizes(n)).otherwise(F.array().cast("array<bigint>")), told), listed))
+
+
+def _averaged(held: DataFrame, source: str, listed: Column) -> DataFrame:
+    return held.select(source, F.inline(listed)).groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
+
+
 def majority_metrics(rows: DataFrame, source: str, prompt: str, variables: list[str], pred: str, order: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """source, variable, metric, value: maj@k/mean and maj@k/std over seeded resamples of k answers to a prompt.
 
     The vote is the most frequent ``pred`` of a resample (the first of equals), its value that of the first answer
     that gives it. Lots depend on the seed, the prompt, k, the draw and the place. The answers to a prompt are one
-    array; a resample is a row. Prompts are averaged within a source; prompts of one answer have no votes.
+    array. Prompts are averaged within a source; prompts of one answer have no votes.
     """
-    held = rows.groupBy(source, prompt).agg(F.array_sort(F.collect_list(F.struct(order, F.col(pred).alias("_pred"), *[F.col(v).cast("double").alias(f"_v{k}") for k, v in enumerate(variables)]))).alias("_a"))
-    sized = held.withColumn("_n", F.size("_a")).where("_n > 1").withColumn("_k", F.explode(subset_sizes(F.col("_n")))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    lot = lambda j: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(source).cast("string"), F.col(prompt).cast("string"), F.col("_k").cast("string"), F.col("_d").cast("string"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    picked = sized.withColumn("_p", F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.get("_a", (lot(j) % F.col("_n")).cast("int"))))
-    votes = F.transform("_p", lambda x, j: F.struct(F.size(F.filter("_p", lambda y: y["_pred"].eqNullSafe(x["_pred"]))).alias("c"), (-j).alias("at"), x.alias("x")))
-    best = F.aggregate(votes, F.struct(F.lit(-1).alias("c"), F.lit(0).alias("at"), F.get("_p", F.lit(0)).alias("x")), lambda a, v: F.when((v["c"] > a["c"]) | ((v["c"] == a["c"]) & (v["at"] > a["at"])), v).otherwise(a))
-    told = picked.select(source, prompt, "_k", best["x"].alias("_x"))
-    per = told.groupBy(source, prompt, "_k").agg(*[f(f"_x._v{k}").alias(f"{n}{k}") for k in range(len(variables)) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    named = lambda k, v, n, what: F.struct(F.lit(v).alias("variable"), F.concat(F.lit("maj@"), F.col("_k").cast("string"), F.lit(what)).alias("metric"), F.col(f"{n}{k}").alias("value"))
-    listed = F.array(*[named(k, v, n, what) for k, v in enumerate(variables) for n, what in (("m", "/mean"), ("s", "/std"))])
-    return per.select(source, F.inline(listed)).groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
+    return _averaged(_answers(rows, source, prompt, variables, order, pred), source, _votes(source, prompt, variables, draws, seed))
 
 
 def validation_block(rows: DataFrame, source: str, prompt: str, variables: list[str], order: str, pred: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """source, variable, metric, value of the numeric variables: what validation_metrics gives for each, and votes where there is a ``pred``."""
-    long = rows.select(source, prompt, F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("_value")) for v in variables])))
-    plain = validation_metrics(long.withColumn("_of", F.struct(source, "variable")), "_of", prompt, "_value").select(F.col(f"_of.{source}").alias(source), "_of.variable", "metric", "value")
-    return plain if pred is None else plain.unionByName(majority_metrics(rows, source, prompt, variables, pred, order, draws, seed))
+    """source, variable, metric, value of the numeric variables: what validation_metrics gives for each, and votes where there is a ``pred``.
+
+    Rows are shuffled once; all that a prompt comes to is made from the array of its answers.
+    """
+    of = lambda v, k: F.transform(prompt_metrics(F.col(f"_s{k}")), lambda m: F.struct(F.lit(v).alias("variable"), m["metric"].alias("metric"), m["value"].alias("value")))
+    listed = [of(v, k) for k, v in enumerate(variables)] + ([] if pred is None else [_votes(source, prompt, variables, draws, seed)])
+    held = _answers(rows, source, prompt, variables, order, pred).select("*", *[F.sort_array(f"_a._v{k}").alias(f"_s{k}") for k in range(len(variables))])
+    return _averaged(held, source, F.concat(*listed))
 
 
 def named_metrics(block: DataFrame, source: str, core: tuple[str, str] = ("acc", "reward")) -> DataFrame:

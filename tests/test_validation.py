@@ -41,3 +41,13 @@ def test_repeats_pairs_and_rates(spark):
     assert V.rates(rows, "c", rows["ok"], balanced=False).first()["macro"] == 0.75
     with pytest.raises(Exception, match="differ in size"):
         V.rates(rows, "c", rows["ok"]).collect()
+
+
+def test_block_shuffles_answers_once_and_sorts_none(spark):
+    rows = answers(spark, [("s", "p", k, None if k == 1 else float(k), "A") for k in range(3)] + [("s", "q", 0, None, None), (None, None, 0, 1.0, "A")]).selectExpr("*", "acc * 2 AS reward")
+    block = V.validation_block(rows, "source", "prompt", ["acc", "reward"], "k", "pred", draws=5)
+    plan = block._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Window" not in plan and " Sort " not in plan  # answers by prompt, measures by name
+    got = {(r["source"], r["variable"], r["metric"]): r["value"] for r in block.collect()}
+    assert got["s", "acc", "mean@3"] == 1 and got["s", "acc", "std@3"] == 1 and got["s", "reward", "worst@3/mean"] == pytest.approx(2 * 2 / 27)
+    assert got["s", "acc", "mean@1"] is None and got[None, "reward", "mean@1"] == 2 and (None, "reward", "std@1") not in got
