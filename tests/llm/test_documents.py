@@ -385,3 +385,20 @@ def test_pairs_without_a_rich_passage_are_left_out_together():
         alike.append(passages.alike(x, y, [], 80, *real) is not None)
     got = passages.possible(*(passages.np.concatenate(c) for c in zip(*parts, strict=True)), len(parts), 80).tolist()
     assert got == want and all(g for g, a in zip(got, alike, strict=True) if a) and 0 < sum(alike) < len(alike) and not all(got)
+
+
+def test_sketches_turn_away_no_alike_windows():
+    rng, span, np = passages.np.random.default_rng(5), passages.SPAN, passages.np
+    windows = []
+    for k in range(150):
+        x = rng.integers(0, 2**63, int(rng.integers(span, 2 * span))).astype(np.uint64)
+        x = x[rng.integers(0, 9, len(x))] if k % 5 == 0 else x  # repeats tokens
+        y = x.copy()
+        y[rng.integers(0, len(y), int(rng.integers(0, 12)))] = rng.integers(0, 2**63)
+        windows += [x, y]
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in windows])])
+    told = passages.bounds(np.concatenate(windows), starts)
+    i, j = (np.concatenate(c) for c in zip((np.arange(0, 300, 2), np.arange(1, 300, 2)), (np.arange(0, 298, 2), np.arange(3, 300, 2)), strict=True))
+    may = passages.may_be_alike(i, j, *told, 80)
+    alike = np.array([passages.alike(windows[a], windows[b], [], 80) is not None for a, b in zip(i, j, strict=True)])
+    assert alike[:150].any() and not (alike & ~may).any() and may[150:].mean() < 0.1
