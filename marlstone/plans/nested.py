@@ -19,18 +19,23 @@ LEVELS = 3
 
 def order_values(spark, sf):
     """rollout, doc: {"order_id", "placed": {"by", "status"}, "lines": [{"part_no", "price", "note"}]}; returned lines have a note that is an error."""
+    return values_with_first(spark, sf).drop("first")
+
+
+def values_with_first(spark, sf):
+    """order_values with first, the part of the first line as text."""
     lines = steps_with_parts(spark, sf).groupBy("rollout").agg(F.array_sort(F.collect_list(F.struct("depth", "part", "price", "note"))).alias("lines"))
     rows = rollouts(spark, sf).join(lines, "rollout")
     listed = F.transform("lines", lambda x: F.struct(x["part"].alias("part_no"), x["price"].alias("price"), x["note"].alias("note")))
     placed = F.struct(F.col("uid").alias("by"), "status")
-    return rows.select("rollout", F.to_json(F.struct(F.col("rollout").alias("order_id"), placed.alias("placed"), listed.alias("lines"))).alias("doc"))
+    return rows.select("rollout", F.get("lines", F.lit(0))["part"].cast("string").alias("first"), F.to_json(F.struct(F.col("rollout").alias("order_id"), placed.alias("placed"), listed.alias("lines"))).alias("doc"))
 
 
 def steps_with_parts(spark, sf):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    depth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
+    depth = F.row_number().over(Window.partitionBy("rollout").orderBy(*order)) - 1  # by the name that groups and joins use, so that one shuffle serves all
     note = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Error: returned "), F.col("l_partkey").cast("string")))
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rollout"), depth.alias("depth"), F.col("l_partkey").alias("part"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), note.alias("note"))
+    return table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "rollout").select("rollout", depth.alias("depth"), F.col("l_partkey").alias("part"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), note.alias("note"))
 
 
 @query(f"""WITH {LINES_SQL} SELECT rollout, 'value.lines[' || depth || '].' || f AS path, v AS scalar FROM (SELECT rollout, depth, unnest(['part_no', 'price', 'note']) AS f, unnest([part::VARCHAR, price::VARCHAR, CASE WHEN flag = 'R' THEN 'Error: returned ' || part END]) AS v FROM steps) WHERE v IS NOT NULL
@@ -67,12 +72,11 @@ t AS (SELECT rollout, relation, extreme, chosen, list(part::VARCHAR ORDER BY par
 SELECT rollout, relation, CASE WHEN extreme IS NOT NULL THEN 'price' END AS field, extreme::DOUBLE AS extreme, CASE WHEN extreme IS NOT NULL THEN tied END AS tied,
   CASE WHEN extreme IS NULL THEN 'not_recoverable' WHEN NOT list_contains(tied, chosen::VARCHAR) THEN 'not_extreme' WHEN len(tied) > 1 THEN 'tie' ELSE 'resolved' END AS status FROM t""")
 def superlative_choices(spark, sf):
-    nodes = held(N.value_nodes(order_values(spark, sf), "doc"))  # read five times
-    fields = N.item_fields(nodes, N.collections(nodes, ["rollout"], ["part"]), ["rollout"])
-    first = steps_with_parts(spark, sf).where("depth = 0").select("rollout", F.col("part").cast("string").alias("selected"))
+    values = N.value_nodes(values_with_first(spark, sf), "doc", only=N.INSIDE, packed=True)
+    found = N.compared(N.collections_inside(values, ["part"], fields=True))
     kinds = [("cheapest", "min", "the cheapest one by price"), ("dearest", "max", "the one of the dearest price"), ("vaguest", "max", "any of them")]
-    asked = first.select("rollout", "selected", F.inline(F.array(*[F.struct(F.lit(r).alias("relation"), F.lit(d).alias("direction"), F.lit("amount").alias("family"), F.lit(q).alias("query")) for r, d, q in kinds])))
-    return N.superlatives(fields, asked, ["rollout"], {}).drop("collection")
+    asked = found.select("rollout", F.col("first").alias("selected"), "compared", F.inline(F.array(*[F.struct(F.lit(r).alias("relation"), F.lit(d).alias("direction"), F.lit("amount").alias("family"), F.lit(q).alias("query")) for r, d, q in kinds])))
+    return N.chosen(asked, {}).select("rollout", "relation", "field", "extreme", "tied", "status")
 
 
 @query(f"""WITH {LINES_SQL}, c AS (SELECT rollout, list_sort(list(DISTINCT part::VARCHAR)) AS candidates FROM steps GROUP BY 1)
