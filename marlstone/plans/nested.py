@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import nested as N
-from ..operators.rows import held
 from .queries import query
 from .tables import STEPS_SQL, rollouts, table
 
@@ -63,7 +62,8 @@ def flattened_members(spark, sf):
 
 @query(f"""WITH {LINES_SQL}, k AS (SELECT rollout FROM steps GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(DISTINCT part)) SELECT rollout, 'value.lines' AS collection, part::VARCHAR AS identity, 'value.lines[' || depth || ']' AS item_path FROM steps JOIN k USING (rollout)""")
 def candidate_collections(spark, sf):
-    return N.collections(held(N.value_nodes(order_values(spark, sf), "doc")), ["rollout"], ["part", "id"]).select("rollout", "collection", "identity", "item_path")
+    values = N.value_nodes(order_values(spark, sf), "doc", only=N.INSIDE, packed=True)
+    return N.collections_inside(values, ["part", "id"]).select("rollout", "collection", F.inline("items")).drop("item")
 
 
 @query(f"""WITH {LINES_SQL}, k AS (SELECT rollout, min(price) AS lo, max(price) AS hi, min_by(part, depth) AS chosen FROM steps GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(DISTINCT part)),
